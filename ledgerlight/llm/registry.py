@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import licenses, quality, secrets, urls
 from .common import documents
 
 
@@ -11,6 +14,14 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op3_urls(spark, sf_dir):
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_bpe(spark, sf_dir):
     from .bpe import round_trip
 
@@ -23,11 +34,24 @@ def op7_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op8_quality(spark, sf_dir):
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judged(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", *(f"_q.{f}" for f in fields))
+
+
 def op9_token_counts(spark, sf_dir):
     from .wordpieces import token_counts
 
     return token_counts(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op7_packing, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+def op10_secrets(spark, sf_dir):
+    s = F.col("_spans")
+    found = secrets.scanned(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "_spans")
+    count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("long")
+    base = F.filter(s, lambda x: x["kind"] < 3)
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(s).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op3_urls, op5_bpe, op7_packing, op8_quality, op9_token_counts, op10_secrets)}
+ORACLES = {"op1_licenses": licenses.oracle(), "op3_urls": urls.oracle(), "op8_quality": quality.oracle(), "op10_secrets": secrets.oracle()}
