@@ -117,7 +117,7 @@ def oracle() -> str:
 WITH RECURSIVE t AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT k, regexp_extract_all(t, '[^ 	-]+') AS w FROM t
+  SELECT k, regexp_extract_all(t, '[^ \t-\r]+') AS w FROM t
 ), tri AS (
   SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w)
 ), again AS (
@@ -125,13 +125,13 @@ WITH RECURSIVE t AS (
 ), covered AS (
   SELECT k, count(DISTINCT i + j) AS n FROM again, range(3) AS r(j) GROUP BY k
 ), f AS (
-  SELECT t.k, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]+', '', 'g')) AS word_chars,
+  SELECT t.k, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ \t-\r]+', '', 'g')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')))::BIGINT AS n_lines,
-    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')))::BIGINT
-      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]'))))::BIGINT AS n_dup_lines,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')))::BIGINT AS n_lines,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')))::BIGINT
+      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]'))))::BIGINT AS n_dup_lines,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
-    length(regexp_replace(t, '[ -@[-`{-]+', '', 'g')) AS n_letters
+    length(regexp_replace(t, '[\x00-\x40\x5b-\x60\x7b-\x7f]+', '', 'g')) AS n_letters
   FROM t JOIN w ON w.k = t.k LEFT JOIN covered ON covered.k = t.k
 ), v AS (
   SELECT *, {", ".join(f"{case(n)} AS v_{n}" for n in names)} FROM f
