@@ -18,6 +18,12 @@ def op1_licenses(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op2_near_duplicates(spark, sf_dir):
+    from .minhash import classes
+
+    return classes(documents(spark, sf_dir))
+
+
 def op3_urls(spark, sf_dir):
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -53,5 +59,5 @@ def op10_secrets(spark, sf_dir):
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(s).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op3_urls, op5_bpe, op7_packing, op8_quality, op9_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_near_duplicates, op3_urls, op5_bpe, op7_packing, op8_quality, op9_token_counts, op10_secrets)}
 ORACLES = {"op1_licenses": licenses.oracle(), "op3_urls": urls.oracle(), "op8_quality": quality.oracle(), "op10_secrets": secrets.oracle()}
