@@ -28,6 +28,12 @@ def op3_urls(spark, sf_dir):
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_repeats(spark, sf_dir):
+    from .repeats import digests
+
+    return digests(documents(spark, sf_dir))
+
+
 def op5_bpe(spark, sf_dir):
     from .bpe import round_trip
 
@@ -59,5 +65,5 @@ def op10_secrets(spark, sf_dir):
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(s).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_near_duplicates, op3_urls, op5_bpe, op7_packing, op8_quality, op9_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_near_duplicates, op3_urls, op4_repeats, op5_bpe, op7_packing, op8_quality, op9_token_counts, op10_secrets)}
 ORACLES = {"op1_licenses": licenses.oracle(), "op3_urls": urls.oracle(), "op8_quality": quality.oracle(), "op10_secrets": secrets.oracle()}
