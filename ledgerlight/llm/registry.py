@@ -40,6 +40,12 @@ def op5_bpe(spark, sf_dir):
     return round_trip(documents(spark, sf_dir), vocabulary_file("word_bpe_49k.json"))
 
 
+def op6_neighbours(spark, sf_dir):
+    from .neighbours import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_packing(spark, sf_dir):
     from .packing import pack
 
@@ -65,5 +71,5 @@ def op10_secrets(spark, sf_dir):
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(s).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_near_duplicates, op3_urls, op4_repeats, op5_bpe, op7_packing, op8_quality, op9_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_near_duplicates, op3_urls, op4_repeats, op5_bpe, op6_neighbours, op7_packing, op8_quality, op9_token_counts, op10_secrets)}
 ORACLES = {"op1_licenses": licenses.oracle(), "op3_urls": urls.oracle(), "op8_quality": quality.oracle(), "op10_secrets": secrets.oracle()}
