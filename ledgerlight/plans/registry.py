@@ -1,5 +1,10 @@
 """All queries over the driver's tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import evidence
+
+_MODULES = (evidence,)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "evidence_packets"
