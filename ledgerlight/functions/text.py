@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space in the wide sense (no-break and ideographic spaces, byte-order mark). Fixed values.
 SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
@@ -18,7 +19,7 @@ STOP_WORDS = (
 TOKEN = "[\\p{L}\\p{N}][\\p{L}\\p{N}-]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility composition (NFKC), which Spark has no function for."""
     for s in parts:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence
+from . import evidence, relational
 
-_MODULES = (evidence,)
+_MODULES = (evidence, relational)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "evidence_packets"
