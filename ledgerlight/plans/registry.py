@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, relational
+from . import evidence, figures, relational
 
-_MODULES = (evidence, relational)
+_MODULES = (evidence, relational, figures)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "evidence_packets"
