@@ -18,7 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_batch, cut, keyed, small_batches
@@ -33,6 +33,8 @@ DEPTHS = (3, 5, 8)
 BLOCK, SMALL = 256, 32
 #: Partners that a row of a crowded block brings first.
 FIRST, NEXT = 6, 8
+#: Shingles up to which a set travels with its row when a crowded region is completed.
+CARRIED = 512
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Equal signature values that a pair must have: 3.8 standard deviations below the mean of a pair at the bound.
@@ -150,26 +152,61 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "rep", "sig").repartition("block").sortWithinPartitions("block").mapInArrow(run, "i long, j long").distinct()
 
 
-def rest_pairs(rows: DataFrame, most: int | None) -> DataFrame:
-    """Candidate pairs between different components: rows (block, rep, component, asks, sig); each asking row against all others of its block."""
+def _met_before(sig: np.ndarray, q: int, base: np.ndarray, tree: int) -> np.ndarray:
+    """Whether row ``q`` shares a region with each base row in an earlier tree too, where the pair is looked at."""
+    if not tree:
+        return np.zeros(len(base), bool)
+    first = sig[:, : tree * VALUES].reshape(len(sig), tree, VALUES)[:, :, : DEPTHS[0]]
+    return (first[base] == first[q]).all(2).any(1)
+
+
+REST = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("sure", pa.bool_())])
+
+
+def rest_pairs(rows: DataFrame, most: int | None, percent: int) -> DataFrame:
+    """(i, j, sure) between different components: rows (block, rep, component, asks, tree, sig, set); each asking row against all others of its block.
+
+    With ``most`` set, the likeliest partners of each row, to be confirmed. Without, all that
+    are left: where both sets are at hand they are compared here and only links come out.
+    """
 
     def run(batches):
         for t in _blocks(batches, 0):
-            asks = t.column(3).to_numpy()
-            ids, comp, s = t.column(1).to_numpy(), t.column(2).to_numpy(), short(t.column(4).to_pylist())
-            q, base = np.flatnonzero(asks), np.flatnonzero(~asks)
-            for lo in range(0, len(q) if len(base) else 0, 64):
-                qq = q[lo : lo + 64]
-                eq = (s[qq, None, :] == s[None, base]).sum(2, dtype=np.int16)
-                eq[comp[qq, None] == comp[None, base]] = 0
-                eq[eq < EQUAL] = 0
-                if most is not None and len(base) > most:
-                    eq[eq < np.partition(eq, len(base) - most, axis=1)[:, len(base) - most, None]] = 0
-                i, j = np.nonzero(eq)
-                if len(i):
-                    yield _emit(ids[qq[i]], ids[base[j]])
-
-    return rows.select("block", "rep", "component", "asks", "sig").repartition("block").sortWithinPartitions("block").mapInArrow(run, "i long, j long").distinct()
+            asks, tree = t.column(3).to_numpy(), t.column(4)[0].as_py()
+            ids, comp, raw = t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(5).to_pylist()
+            sig, s = np.frombuffer(b"".join(raw), "<u4").reshape(len(raw), HASHES), short(raw)
+            sets = [None if x is None else np.frombuffer(x, "<u8") for x in t.column(6).to_pylist()]
+            base = np.flatnonzero(~asks)
+            out: list[list] = [[], [], []]
+            for q in np.flatnonzero(asks).tolist() if len(base) else ():
+                eq = (s[base] == s[q]).sum(1, dtype=np.int16)
+                at = np.flatnonzero((eq >= EQUAL) & (comp[base] != comp[q]))
+                at = at[~_met_before(sig, q, base[at], tree)]
+                at = at[np.argsort(-eq[at], kind="stable")]
+                joined = set()
+                for x in base[at if most is None else at[:most]].tolist():
+                    both = most is None and sets[q] is not None and sets[x] is not None
+                    if both and (comp[x] in joined or not similar(sets[q], sets[x], percent)):
+                        continue
+                    if both:
+                        joined.add(comp[x])
+                    for c, v in zip(out, (ids[q], ids[x], both)):
+                        c.append(v)
+            if out[0]:
+                i, j = np.array(out[0]), np.array(out[1])
+                yield as_batch(REST, np.minimum(i, j), np.maximum(i, j), out[2])
+
+    return rows.select("block", "rep", "component", "asks", "tree", "sig", "set").repartition("block").sortWithinPartitions("block").mapInArrow(run, "i long, j long, sure boolean").distinct()
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union for two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
 
 
 def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -191,16 +228,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
 
     def run(batches):
         for b in small_batches(batches):
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(both) - same))
+            keep = [similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], schema=PAIRS)
 
     sets = cut(set_table(docs, pairs.select(F.explode(F.array("i", "j")).alias("rep")), words).dropDuplicates(["rep"]), "sets")
@@ -246,25 +274,44 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     links = cut(confirmed(texts, tried, words, percent), "links")
     found = cut(components(links), "components")
 
-    large = rows.where(F.col("n") > SMALL).drop("tree")
+    large = rows.where(F.col("n") > SMALL)
     if not large.isEmpty():
         for most in (NEXT, None):
             placed = cut(large.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
             sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
             mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
             region = placed.join(mixed, "key").withColumn("parts", parts)
+            if most is None:
+                sets = set_table(texts, region.select("rep"), words).where(F.length("set") <= 8 * CARRIED).dropDuplicates(["rep"])
+                region = cut(region.join(sets, "rep", "left"), "rest")
+            else:
+                region = region.withColumn("set", F.lit(None).cast("binary"))
             asks = F.col("component") != F.col("main")
-            own = region.select(_part(F.col("key"), F.col("parts"), F.pmod(F.xxhash64("rep"), "parts")).alias("block"), "rep", "component", F.lit(False).alias("asks"), "sig")
+            own = region.select(_part(F.col("key"), F.col("parts"), F.pmod(F.xxhash64("rep"), "parts")).alias("block"), "rep", "component", F.lit(False).alias("asks"), "tree", "sig", "set")
             each = region.where(asks).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            asking = each.select(_part(F.col("key"), F.col("parts"), F.col("p").cast("long")).alias("block"), "rep", "component", F.lit(True).alias("asks"), "sig")
-            new = cut(rest_pairs(own.unionByName(asking), most).join(tried, ["i", "j"], "left_anti"), "pairs")
-            if new.isEmpty():
-                break
-            more = cut(confirmed(texts, new, words, percent), "links")
+            asking = each.select(_part(F.col("key"), F.col("parts"), F.col("p").cast("long")).alias("block"), "rep", "component", F.lit(True).alias("asks"), "tree", "sig", "set")
+            rest = cut(rest_pairs(own.unionByName(asking), most, percent), "pairs")
+            new = cut(rest.where("not sure").select("i", "j").join(tried, ["i", "j"], "left_anti"), "pairs")
+            more = rest.where("sure").select("i", "j")
+            if not new.isEmpty():
+                more = more.unionByName(cut(confirmed(texts, new, words, percent), "links"))
             tried = tried.unionByName(new)
-            found = cut(components(found.toDF("i", "j").unionByName(more)), "components")
+            if not more.isEmpty():
+                found = cut(components(found.toDF("i", "j").unionByName(more)), "components")
 
     of_set = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     in_set = linked.select("doc_id", "n_shingles", "digest").join(of_set, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = base.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return in_set.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of ``docs`` for each component: that of its smallest id. Rows without an id stay.
+
+    Of rows that repeat that id the one with the smallest text stays. Columns are untouched.
+    """
+    kept = classes(docs, id_col, text_col, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
+    own = F.col(id_col).cast("long")
+    named = docs.where(own.isNotNull()).withColumn("_kept_id", own).join(kept, "_kept_id", "left_semi")
+    one = named.withColumn("_kept_n", F.row_number().over(Window.partitionBy("_kept_id").orderBy(F.col(text_col).asc_nulls_first())))
+    return one.where("_kept_n = 1").drop("_kept_n", "_kept_id").unionByName(docs.where(own.isNull()))
