@@ -107,6 +107,11 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return got.withColumn("_q", F.col("_q").withField("base_failed", failed).withField("posterior", 1 / (1 + F.exp(-score))).withField("kept", ~failed & (score >= 0)))
 
 
+def filtered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, without further columns; see ``judged``."""
+    return judged(docs, text_col).where("_q.kept").drop("_q")
+
+
 def oracle() -> str:
     """The same results as one DuckDB statement over table ``documents``, the estimation as a recursion."""
     names = list(RULES)
