@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 #: Items in order of precedence: (key, kind, pattern of a whole row label, pattern in prose). Fixed values.
 ITEMS = (
     ("bilanzsumme", "balance", "Summe der (?:Aktiva|Passiva)|Bilanzsumme|Summe Aktiva|Summe Passiva", "Bilanzsumme|Gesamtkapitals?"),
@@ -65,18 +67,23 @@ def enumeration_level(c: Column) -> Column:
     return F.coalesce(*(F.when(c.rlike(p), F.lit(n)) for p, n in LEVELS))
 
 
+def _row(plain: Column) -> Column:
+    return F.coalesce(*(F.when(plain.rlike(f"(?iu)^(?:{row})$"), F.lit(key)) for key, _, row, _ in ITEMS))
+
+
+def _named(plain: Column) -> Column:
+    single = [(key, text) for key, kind, _, text in ITEMS if key not in TOTALS and kind not in ("ratio", "result")]
+    return F.coalesce(*(F.when(plain.rlike(f"(?iu)(?<!\\p{{L}})(?:{text})(?!\\p{{L}})"), F.lit(key)) for key, text in single))
+
+
 def item_of_label(c: Column) -> Column:
     """Key of the first item whose row pattern is the whole label."""
-    plain = bare_label(c)
-    return F.coalesce(*(F.when(plain.rlike(f"(?iu)^(?:{row})$"), F.lit(key)) for key, _, row, _ in ITEMS))
+    return once(bare_label(c), _row)
 
 
 def item_of_account(c: Column) -> Column:
     """Key of the item an account counts towards: its label as a row, but no total; else the first single item that it names."""
-    plain = bare_label(c)
-    row = item_of_label(c)
-    named = F.coalesce(*(F.when(plain.rlike(f"(?iu)(?<!\\p{{L}})(?:{text})(?!\\p{{L}})"), F.lit(key)) for key, kind, _, text in ITEMS if key not in TOTALS and kind not in ("ratio", "result")))
-    return F.when(row.isNotNull(), F.when(~row.isin(*TOTALS), row)).otherwise(named)
+    return once(bare_label(c), lambda plain: F.when(_row(plain).isNotNull(), F.when(~_row(plain).isin(*TOTALS), _row(plain))).otherwise(_named(plain)))
 
 
 def kind_of_item(key: Column) -> Column:

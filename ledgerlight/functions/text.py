@@ -26,6 +26,11 @@ def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.str.normalize("NFKC")
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))

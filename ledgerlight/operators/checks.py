@@ -91,13 +91,12 @@ def derived(values: DataFrame) -> DataFrame:
         at("zinsaufwendungen").alias("za"), at("provisionsertraege").alias("pi"), at("provisionsaufwendungen").alias("pa"), unit.alias("unit"),
     )
     debt = F.col("r") + F.col("v")
-    rows = F.array(
-        F.struct(F.lit("fremdkapital").alias("item"), whole(debt).alias("micro"), whole(F.col("unit")).alias("display_unit")),
-        F.struct(F.lit("eigenkapitalquote"), ratio_percent(F.col("e"), F.col("b")), whole(F.lit(0))),
-        F.struct(F.lit("fremdkapitalquote"), ratio_percent(debt, F.col("b")), whole(F.lit(0))),
-        F.struct(F.lit("nettozinsertrag"), whole(F.col("zi") - F.abs("za")), whole(F.col("unit"))),
-        F.struct(F.lit("provisionsergebnis"), whole(F.col("pi") - F.abs("pa")), whole(F.col("unit"))),
-    )
+    u, none = F.col("unit"), F.lit(0)
+    made = (
+        ("fremdkapital", debt, u), ("eigenkapitalquote", ratio_percent(F.col("e"), F.col("b")), none), ("fremdkapitalquote", ratio_percent(debt, F.col("b")), none),
+        ("nettozinsertrag", F.col("zi") - F.abs("za"), u), ("provisionsergebnis", F.col("pi") - F.abs("pa"), u),
+    )
+    rows = F.array(*(F.struct(F.lit(k).alias("item"), whole(v).alias("micro"), whole(n).alias("display_unit")) for k, v, n in made))
     return wide.select("doc_id", "period", F.explode(rows).alias("x")).select("doc_id", "period", "x.*").where("micro IS NOT NULL")
 
 
