@@ -87,3 +87,8 @@ def safe_cell(c: Column) -> Column:
     """Text that a spreadsheet neither cuts nor runs as a formula."""
     cut = clip(c, 32_767)
     return F.when(cut.rlike("^[=+@\\t\\r-]"), clip(F.concat(F.lit("'"), cut), 32_767)).otherwise(cut)
+
+
+def cited_numbers(c: Column) -> Column:
+    """Numbers in square brackets, in order."""
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("\\[(\\d+)\\]"), F.lit(1)), lambda x: x.try_cast("int"))

@@ -118,3 +118,31 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("pos", "text")).select(
         "doc_id", (F.col("pos") + 1).alias("ordinal"), "text", F.lit(None).cast("string").alias("heading")
     )
+
+
+def chat_matches(sources: DataFrame, questions: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """The best sources (key, order, text) of each question (key, question), all query terms of equal weight."""
+    by = Window.partitionBy(key)
+    each = sources.select(key, order, lexical_tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
+    each = each.withColumn("n", F.count("*").over(by)).withColumn("mean", F.avg("length").over(by))
+    asked = questions.select(key, F.explode(F.array_distinct(lexical_tokens(F.col("question")))).alias("term"))
+    tf = each.select(key, order, "length", "n", "mean", F.explode("terms").alias("term")).join(asked, [key, "term"]).groupBy(key, order, "length", "n", "mean", "term").agg(F.count("*").alias("tf"))
+    df = tf.withColumn("df", F.count("*").over(Window.partitionBy(key, "term")))
+    s = term_score(F.lit(1.0), F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean"))
+    scores = df.groupBy(key, order).agg(F.round(F.sum(s), DIGITS).alias("score"))
+    return scores.withColumn("place", F.row_number().over(by.orderBy(F.desc("score"), order))).where(F.col("place") <= most)
+
+
+def chat_packets(sources: DataFrame, questions: DataFrame, key: str, order: str, most: int = 6, depth: int = 3, characters: int = 28_000) -> DataFrame:
+    """Matches with the neighbours of the first ``depth``, in document order, packed by characters; the first source is always kept."""
+    found = chat_matches(sources, questions, key, order, most)
+    sides = F.when(F.col("place") <= depth, F.array(F.lit(0), F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))
+    around = found.select(key, "place", "score", F.col(order).alias("_o"), F.explode(sides).alias("side")).select(key, "place", "side", (F.col("_o") + F.col("side")).alias(order), F.when(F.col("side") == 0, F.col("score")).otherwise(F.col("score") * CONTEXT_SHARE).alias("score"))
+    known = sources.select(key, order, F.length("text").cast("long").alias("size"))
+    first = Window.partitionBy(key, order).orderBy(F.col("side") != 0, "place", "side")
+    chosen = around.join(known, [key, order]).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    item = F.struct(F.col(order).alias("at"), "size", "score", F.when(F.col("side") == 0, "match").otherwise("context").alias("role"))
+    lists = chosen.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    head = F.slice("items", 1, 1)
+    kept = F.when(F.col("items")[0]["size"] > characters, head).otherwise(greedy(F.col("items"), "size", characters, 1 << 20))
+    return lists.select(key, F.posexplode(kept).alias("pos", "x")).select(key, (F.col("pos") + 1).alias("citation"), F.col("x.at").alias(order), "x.role", "x.score")
