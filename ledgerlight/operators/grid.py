@@ -65,3 +65,40 @@ def progress(done: Column, total: Column, before: Column | None = None) -> Colum
     """Per cent of a run, from 10 to 99, never falling below what it was."""
     now = F.least(F.lit(99), 10 + F.floor(89 * done / F.greatest(F.lit(1), total)))
     return now if before is None else F.greatest(before, now)
+
+
+#: What a missing answer counts as; from when a block is an instruction to the reader.
+THRESHOLD, INJECTION = 4_000, 5_000
+
+
+def routed(blocks: DataFrame, answers: DataFrame, columns: DataFrame) -> DataFrame:
+    """(doc_id, column_no, ordinal, section, tokens, relevance_bp, injection_bp): every block with every column of its run.
+
+    ``blocks``: doc_id, ordinal, section, tokens. ``answers``: doc_id, section, column_no
+    (null: the injection question), bp. ``columns``: column_no; a run has few, so they
+    travel as one array.
+    """
+    listed = columns.agg(F.collect_set("column_no").alias("_columns"))
+    injected = answers.where("column_no IS NULL").groupBy("doc_id", "section").agg(F.max("bp").alias("_i"))
+    relevant = answers.where("column_no IS NOT NULL").groupBy("doc_id", "section", "column_no").agg(F.max("bp").alias("_r"))
+    each = blocks.join(F.broadcast(listed)).withColumn("column_no", F.explode("_columns")).drop("_columns")
+    both = each.join(injected, ["doc_id", "section"], "left").join(relevant, ["doc_id", "section", "column_no"], "left")
+    return both.withColumn("relevance_bp", F.coalesce("_r", F.lit(THRESHOLD))).withColumn("injection_bp", F.coalesce("_i", F.lit(THRESHOLD))).drop("_i", "_r")
+
+
+def cell_packets(routes: DataFrame, budget: int, most: int = 1 << 20) -> DataFrame:
+    """(doc_id, column_no, ordinal, place): the relevant, harmless blocks of a cell that fit its budget, most relevant first, numbered in document order."""
+    from .retrieval import greedy
+
+    fit = routes.where((F.col("relevance_bp") >= THRESHOLD) & (F.col("injection_bp") < INJECTION))
+    item = F.struct((-F.col("relevance_bp")).alias("worse"), "ordinal", F.col("tokens").cast("long").alias("tokens"))
+    lists = fit.groupBy("doc_id", "column_no").agg(F.array_sort(F.collect_list(item)).alias("items"))  # one document's blocks
+    kept = F.array_sort(F.transform(greedy(F.col("items"), "tokens", budget, most), lambda x: x["ordinal"]))
+    return lists.select("doc_id", "column_no", F.posexplode(kept).alias("pos", "ordinal")).select("doc_id", "column_no", "ordinal", (F.col("pos") + 1).alias("place"))
+
+
+def cell_quotes(quotes: DataFrame, most: int = 3) -> DataFrame:
+    """The ``most`` best quotes of each cell (doc_id, column_no, ordinal, bp), numbered in document order."""
+    best = Window.partitionBy("doc_id", "column_no").orderBy(F.desc("bp"), "ordinal")
+    top = quotes.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most)
+    return top.withColumn("citation", F.row_number().over(Window.partitionBy("doc_id", "column_no").orderBy("ordinal"))).drop("_n")

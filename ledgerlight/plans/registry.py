@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, figures, relational, streams
+from . import evidence, figures, grids, relational, streams
 
-_MODULES = (evidence, relational, figures, streams)
+_MODULES = (evidence, relational, figures, grids, streams)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "evidence_packets"
