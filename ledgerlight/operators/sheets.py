@@ -88,5 +88,5 @@ def checklist(cells: DataFrame) -> DataFrame:
     """(file_id, row_no, key, reference, title, requirement, aspects, parent, order) of a checklist sheet without its blank rows."""
     has = lambda *r: F.forall(F.array(*map(F.lit, r)), lambda x: F.array_contains(F.col("roles"), x))
     rows = _rows(cells, roles(cells, CHECKLIST, has("key", "title", "requirement")), CHECKLIST).where("filled")
-    aspects = F.filter(F.transform(F.split(F.coalesce("aspects", F.lit("")), ";"), F.trim), lambda x: x != "")
+    aspects = F.filter(F.transform(F.split(F.coalesce("aspects", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select("file_id", "row_no", *(F.trim(c).alias(c) for c in ("key", "reference", "title", "requirement")), aspects.alias("aspects"), F.nullif(F.trim("parent"), F.lit("")).alias("parent"), F.trim("order").try_cast("int").alias("order"))

@@ -1,6 +1,6 @@
 import random
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import batches, checklist, grid, grounding, readmodels, retrieval, sheets
@@ -86,7 +86,7 @@ def test_upsert_and_as_of(spark):
 
 def test_token_bucket_matches_plain_replay(spark, tmp_path):
     rnd = random.Random(2)
-    rows = [(k % 3, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=rnd.randint(0, 60)), float(rnd.choice([1, 2, 9]))) for k in range(60)]
+    rows = [(k % 3, datetime(2024, 1, 1) + timedelta(seconds=rnd.randint(0, 60)), float(rnd.choice([1, 2, 9]))) for k in range(60)]
     df = spark.createDataFrame(rows, "who long, at timestamp, cost double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = feeds.log_stream(spark, str(tmp_path / "in"), df.schema)
@@ -95,7 +95,7 @@ def test_token_bucket_matches_plain_replay(spark, tmp_path):
     for who in range(3):
         level, clock = 4.0, None
         for _, at, cost in sorted(r for r in rows if r[0] == who):
-            now = at.timestamp()
+            now = at.replace(tzinfo=UTC).timestamp()
             start = now if clock is None else max(now, clock)
             level = min(4.0, level + (start - (clock if clock is not None else start)) * 0.5)
             wait = max(0.0, (min(cost, 4.0) - level) / 0.5)
