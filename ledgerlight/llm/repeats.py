@@ -89,6 +89,7 @@ def _sent(texts: DataFrame, length: int, gram: int) -> DataFrame:
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         marks = (i != i[first]) | (at != at[first])
         keep = new | marks
+        a = np.where(marks, mixed(i.view(U) * U(31) + at.view(U)).view(np.int64), a)  # marks are dealt anywhere, not to their anchor
         return as_batch(SENT, a[keep], d[keep], i[keep], at[keep], marks[keep])
 
     def run(batches):
