@@ -33,6 +33,8 @@ DEPTHS = (3, 5, 8)
 BLOCK, SMALL = 256, 32
 #: Partners that a row of a crowded block brings first.
 FIRST, NEXT = 6, 8
+#: Parts of a crowded region that a row tries before all.
+PROBES = 4
 #: Shingles up to which a set travels with its row when a crowded region is completed.
 CARRIED = 512
 #: Link if 100 * intersection >= PERCENT * union.
@@ -245,6 +247,20 @@ def _part(key: Column, parts: Column, at: Column) -> Column:
     return F.xxhash64(key, parts, at)
 
 
+def _squares(region: DataFrame, every: bool) -> DataFrame:
+    """Blocks of a part of a region's rows and a part of its asking rows: all combinations, or PROBES parts for each asking row."""
+    p, parts, asked = F.col("part"), F.col("parts"), F.col("asked")
+    asks = F.col("component") != F.col("main")
+    near = F.sequence(F.lit(0), F.least(parts, F.lit(PROBES)) - 1)
+    if every:
+        q = F.pmod(F.xxhash64("rep", F.lit(1)), asked).cast("int")
+        own, asking = F.transform(F.sequence(F.lit(0), asked - 1), lambda x: F.struct(x.alias("q"), p.alias("p"))), F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(q.alias("q"), x.alias("p")))
+    else:
+        own, asking = F.transform(near, lambda j: F.struct(F.pmod(p - j, parts).alias("q"), p.alias("p"))), F.transform(near, lambda j: F.struct(p.alias("q"), F.pmod(p + j, parts).alias("p")))
+    rows = lambda df, at, flag: df.withColumn("at", F.explode(at)).select(F.xxhash64("key", "at.q", "at.p").alias("block"), "rep", "component", F.lit(flag).alias("asks"), "tree", "sig", "set")
+    return rows(region, own, False).unionByName(rows(region.where(asks), asking, True))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -279,18 +295,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         for most in (NEXT, None):
             placed = cut(large.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
             sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-            mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-            region = placed.join(mixed, "key").withColumn("parts", parts)
+            mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k"), (F.sum("c") - F.max("c")).alias("n_asks")).where("k > 1").drop("k")
+            region = placed.join(mixed, "key").withColumn("parts", parts).withColumn("asked", F.ceil(F.col("n_asks") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
             if most is None:
                 sets = set_table(texts, region.select("rep"), words).where(F.length("set") <= 8 * CARRIED).dropDuplicates(["rep"])
                 region = cut(region.join(sets, "rep", "left"), "rest")
             else:
                 region = region.withColumn("set", F.lit(None).cast("binary"))
-            asks = F.col("component") != F.col("main")
-            own = region.select(_part(F.col("key"), F.col("parts"), F.pmod(F.xxhash64("rep"), "parts")).alias("block"), "rep", "component", F.lit(False).alias("asks"), "tree", "sig", "set")
-            each = region.where(asks).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            asking = each.select(_part(F.col("key"), F.col("parts"), F.col("p").cast("long")).alias("block"), "rep", "component", F.lit(True).alias("asks"), "tree", "sig", "set")
-            rest = cut(rest_pairs(own.unionByName(asking), most, percent), "pairs")
+            rest = cut(rest_pairs(_squares(region, most is None), most, percent), "pairs")
             new = cut(rest.where("not sure").select("i", "j").join(tried, ["i", "j"], "left_anti"), "pairs")
             more = rest.where("sure").select("i", "j")
             if not new.isEmpty():
