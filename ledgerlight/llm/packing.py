@@ -52,9 +52,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, shard_key, tie, ids): ids as little-endian unsigned 32 bits, ``end_id`` last."""
 
     def run(batches):
-        enc = encoder(path)
+        enc, end = encoder(path), np.array([end_id], np.uint32)
         for b in small_batches(batches):
-            ids = [np.array([*enc.encode(t or "", allowed_special="all", disallowed_special=()), end_id], dtype="<u4") for t in b.column(1).to_pylist()]
+            ids = [np.append(enc.encode_to_numpy(t or "", allowed_special="all", disallowed_special=()), end).astype("<u4", copy=False) for t in b.column(1).to_pylist()]
             keys, ties = [], []
             for x in ids:
                 pair = (x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]) * np.uint64(0x9E3779B97F4A7C15)
@@ -71,13 +71,17 @@ def frequencies(tokens: DataFrame) -> DataFrame:
 
     def run(batches):
         df = n = np.zeros(0, np.int64)
+        seen = np.zeros(0, bool)
         for b in small_batches(batches):
-            for x in b.column(0):
-                x = np.frombuffer(x.as_buffer(), "<u4")
-                c = np.bincount(x, minlength=len(n))
-                if len(c) > len(n):
-                    n, df = (np.pad(v, (0, len(c) - len(v))) for v in (n, df))
-                n, df = n + c, df + (c > 0)
+            ids = [np.frombuffer(x.as_buffer(), "<u4") for x in b.column(0)]
+            c = np.bincount(np.concatenate(ids) if ids else np.zeros(0, np.int64), minlength=len(n))
+            n, df, seen = (np.pad(v, (0, len(c) - len(v))) for v in (n, df, seen))
+            n += c
+            for x in ids:
+                seen[x] = True
+                own = np.flatnonzero(seen)
+                df[own] += 1
+                seen[own] = False
         at = np.flatnonzero(n)
         yield as_batch(schema, at.astype(np.int32), df[at], n[at])
 
