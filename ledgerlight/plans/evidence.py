@@ -19,7 +19,8 @@ def evidence_packets(spark, sf_dir):
     return retrieval.packets(blocks, wanted, max_tokens=PACKET_TOKENS, minimum=PASSAGE_SCORE)
 
 
-EVIDENCE_PACKETS = rf"""
+def packets_sql(minimum: float, max_tokens: int) -> str:
+    return rf"""
 WITH RECURSIVE {SQL_BLOCKS},
 t AS (SELECT doc_id, ordinal, lower(text) AS plain, {sql_tokens('text')} AS toks FROM blocks),
 b AS (SELECT *, len(toks) AS n_tokens, count(*) OVER (PARTITION BY doc_id) AS n_blocks, avg(len(toks)) OVER (PARTITION BY doc_id) AS mean FROM t),
@@ -35,7 +36,7 @@ s AS (
   SELECT s.doc_id, s.req_id, s.ordinal, s.n_tokens, matched, round(score + CASE WHEN length(p) >= 12 AND contains(plain, p) THEN 3.0 ELSE 0 END, 9) AS score
   FROM s JOIN ph USING (req_id) JOIN b ON b.doc_id = s.doc_id AND b.ordinal = s.ordinal
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, req_id ORDER BY score DESC, ordinal) AS place FROM m WHERE score >= {PASSAGE_SCORE} QUALIFY place <= 8
+  SELECT *, row_number() OVER (PARTITION BY doc_id, req_id ORDER BY score DESC, ordinal) AS place FROM m WHERE score >= {minimum} QUALIFY place <= 8
 ), a AS (
   SELECT doc_id, req_id, place, ordinal + o AS ordinal, o, CASE WHEN o = 0 THEN score ELSE score * 0.2 END AS score, CASE WHEN o = 0 THEN matched ELSE '' END AS matched FROM r, (VALUES (0), (-1), (1)) AS v(o)
 ), sel AS (
@@ -43,10 +44,10 @@ s AS (
 ), o AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, req_id ORDER BY score DESC, ordinal) AS i, greatest(1.0, max(score) OVER (PARTITION BY doc_id, req_id)) AS top FROM sel
 ), fold AS (
-  SELECT doc_id, req_id, i, CASE WHEN n_tokens <= {PACKET_TOKENS} THEN n_tokens ELSE 0 END AS total, (n_tokens <= {PACKET_TOKENS})::INT AS taken, (n_tokens <= {PACKET_TOKENS}) AS kept FROM o WHERE i = 1
+  SELECT doc_id, req_id, i, CASE WHEN n_tokens <= {max_tokens} THEN n_tokens ELSE 0 END AS total, (n_tokens <= {max_tokens})::INT AS taken, (n_tokens <= {max_tokens}) AS kept FROM o WHERE i = 1
   UNION ALL
-  SELECT o.doc_id, o.req_id, o.i, CASE WHEN taken < 16 AND total + n_tokens <= {PACKET_TOKENS} THEN total + n_tokens ELSE total END,
-    CASE WHEN taken < 16 AND total + n_tokens <= {PACKET_TOKENS} THEN taken + 1 ELSE taken END, taken < 16 AND total + n_tokens <= {PACKET_TOKENS}
+  SELECT o.doc_id, o.req_id, o.i, CASE WHEN taken < 16 AND total + n_tokens <= {max_tokens} THEN total + n_tokens ELSE total END,
+    CASE WHEN taken < 16 AND total + n_tokens <= {max_tokens} THEN taken + 1 ELSE taken END, taken < 16 AND total + n_tokens <= {max_tokens}
   FROM fold JOIN o ON o.doc_id = fold.doc_id AND o.req_id = fold.req_id AND o.i = fold.i + 1
 )
 SELECT doc_id, req_id, taken AS rank, ordinal, CASE WHEN o < 0 THEN 'context_before' WHEN o > 0 THEN 'context_after' ELSE 'match' END AS role, round(score, 9) AS score,
@@ -54,6 +55,9 @@ SELECT doc_id, req_id, taken AS rank, ordinal, CASE WHEN o < 0 THEN 'context_bef
 FROM fold JOIN o USING (doc_id, req_id, i) WHERE kept
 """
 
+
+EVIDENCE_PACKETS = packets_sql(PASSAGE_SCORE, PACKET_TOKENS)
+
 QUERIES = {"evidence_packets": evidence_packets}
 ORACLES = {"evidence_packets": EVIDENCE_PACKETS}
 
@@ -68,6 +72,18 @@ def query(sql):
     return add
 
 
+#: Least score and token budget of the reference.
+REFERENCE_SCORE, REFERENCE_TOKENS = 0.75, 6000
+
+
+@query(packets_sql(REFERENCE_SCORE, REFERENCE_TOKENS))
+def d1_evidence_packets(spark, sf_dir):
+    """``evidence_packets`` with the reference's least score and token budget: partial matches and long blocks count too."""
+    blocks = retrieval.text_blocks(table(spark, sf_dir, "documents"))
+    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("req_id"), F.lit("title").alias("part"), "text")
+    return retrieval.packets(blocks, wanted, max_tokens=REFERENCE_TOKENS, minimum=REFERENCE_SCORE)
+
+
 P8 = rf"""
 WITH {SQL_BLOCKS}, q AS (SELECT item_id, upper(left(t, 1)) || substr(t, 2) || '!' AS quote, t FROM (SELECT item_id, trim(regexp_replace(split_part(text, '.', 1), '\s+', ' ', 'g')) AS t FROM benchmark) WHERE length(t) > 40)
 SELECT doc_id, ordinal, item_id, CASE WHEN contains(text, t) THEN t END AS grounded FROM blocks, q WHERE contains(text, t)"""

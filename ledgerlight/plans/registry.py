@@ -7,4 +7,4 @@ from . import evidence, figures, grids, relational, spans, streams
 _MODULES = (evidence, relational, figures, grids, spans, streams)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
-FLAGSHIP = "evidence_packets"
+FLAGSHIP = "d1_evidence_packets"
