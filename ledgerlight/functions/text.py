@@ -53,15 +53,23 @@ def _first_letter(c: Column, upper: bool) -> Column:
     return F.concat(F.upper(first) if upper else F.lower(first), F.substring(c, 2, 1 << 30))
 
 
+def bare_quote(c: Column) -> Column:
+    """A quote without the punctuation at its end."""
+    return F.rtrim(F.regexp_replace(c, "[.:;,!?]+$", ""))
+
+
+def quote_variants(quote: Column) -> list[Column]:
+    """A collapsed quote's wordings in the order they are looked for; some may be empty."""
+    return [v for base in (quote, bare_quote(quote)) for v in (base, _first_letter(base, True), _first_letter(base, False))]
+
+
 def locate_quote(block: Column, quote: Column) -> Column:
     """The document's own wording of a quote, or null.
 
     The quote may differ in its first letter's case and in punctuation at its end only.
     """
     text, q = collapse(block), collapse(quote)
-    bare = F.rtrim(F.regexp_replace(q, "[.:;,!?]+$", ""))
-    variants = [v for base in (q, bare) for v in (base, _first_letter(base, True), _first_letter(base, False))]
-    return F.coalesce(*(F.when((F.length(v) > 0) & F.contains(text, v), v) for v in variants))
+    return F.coalesce(*(F.when((F.length(v) > 0) & F.contains(text, v), v) for v in quote_variants(q)))
 
 
 def excerpt(c: Column, most: int = 600) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
-from .common import SQL_BLOCKS, sql_tokens, table
+from .common import SQL_BLOCKS, sql_collapse, sql_tokens, table
 
 #: Least score of a passage that is sought as a whole; the library's own default is lower.
 PASSAGE_SCORE = 40.0
@@ -108,6 +108,38 @@ def p8_grounded_quotes(spark, sf_dir):
     return found.select("doc_id", "ordinal", "item_id", "grounded")
 
 
+P8_ALL = rf"""
+WITH {SQL_BLOCKS}, p AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda l: {sql_collapse('l')}), lambda l: l <> '') AS ts FROM benchmark),
+s AS (SELECT item_id, unnest(range(1, len(ts) + 1)) AS sentence, unnest(ts) AS t FROM p), q AS (SELECT item_id, sentence, upper(left(t, 1)) || substr(t, 2) || '!' AS quote FROM s),
+v AS (SELECT *, rtrim(regexp_replace(quote, '[.:;,!?]+$', ''), ' ') AS bare FROM q),
+g AS (SELECT doc_id, ordinal, item_id, sentence, list_filter([quote, lower(left(quote, 1)) || substr(quote, 2), bare, lower(left(bare, 1)) || substr(bare, 2)], lambda x: x <> '' AND contains(text, x))[1] AS grounded FROM blocks, v WHERE contains(text, substr(bare, 2)))
+SELECT * FROM g WHERE grounded IS NOT NULL"""
+
+
+@query(P8_ALL)
+def p8_all_quotes(spark, sf_dir):
+    """Every sentence of the benchmark passages, of any length, as a quote with another end, found in all blocks.
+
+    All variants of a quote share what follows its first letter, without marks at the end. A
+    word between two spaces in there is a token of every block that holds the quote, and they
+    meet on it; a quote without such a word is looked for in each block.
+    """
+    from ..functions.text import bare_quote, collapse, lexical_tokens, quote_variants
+
+    sentences = F.filter(F.transform(F.split("text", "[.!?\n]"), collapse), lambda t: t != "")
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(sentences).alias("pos", "t"))
+    q = q.select("item_id", (F.col("pos") + 1).cast("long").alias("sentence"), F.concat(F.upper(F.substring("t", 1, 1)), F.substring("t", 2, 1 << 30), F.lit("!")).alias("quote")).withColumn("bare", bare_quote(F.col("quote")))
+    alone = F.filter(lexical_tokens(F.col("bare")), lambda w: F.contains(F.lower("bare"), F.concat(F.lit(" "), w, F.lit(" "))) & ~w.endswith("-"))
+    variants = F.filter(F.array_distinct(F.array(*quote_variants(F.col("quote")))), lambda v: v != "")
+    quotes = q.withColumn("variants", variants).withColumn("word", F.array_max(F.transform(alone, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]).withColumn("rest", F.substring("bare", 2, 1 << 30))
+    blocks = retrieval.text_blocks(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "text")
+    words = blocks.withColumn("word", F.explode(F.array_distinct(lexical_tokens(F.col("text")))))
+    by_word = words.join(quotes.where("word IS NOT NULL"), "word").where(F.contains("text", "rest")).drop("word")
+    by_text = blocks.join(F.broadcast(quotes.where("word IS NULL").drop("word")), F.contains("text", "rest"))  # few: one or two words each
+    found = by_word.unionByName(by_text).withColumn("grounded", F.get(F.filter("variants", lambda v: F.contains(F.col("text"), v)), F.lit(0)))  # blocks are collapsed already
+    return found.where("grounded IS NOT NULL").select("doc_id", "ordinal", "item_id", "sentence", "grounded")
+
+
 P14 = """
 WITH a AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'fulfilled' WHEN 'error' THEN 'not_fulfilled' ELSE 'partially_fulfilled' END AS status, floor(value)::BIGINT % 101 AS confidence, user_id FROM events)
 SELECT event_id, array_to_string(list_filter([CASE WHEN status = 'fulfilled' THEN 'fulfilled' END, CASE WHEN status = 'not_fulfilled' THEN 'not_fulfilled' END, CASE WHEN confidence < 85 THEN 'low_confidence' END, CASE WHEN event_id % 13 = 0 THEN 'contradiction' END,

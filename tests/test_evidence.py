@@ -54,3 +54,14 @@ def test_packets_hold_partial_matches_and_long_blocks(spark, tmp_path):
     assert [(r.ordinal, r.role, round(r.score, 6)) for r in got] == brute_packets(lines, passage)
     assert any(r.n_tokens > 120 for r in got) and any(r.role == "match" and r.score < 40 for r in got)
     assert registry.FLAGSHIP == "d1_evidence_packets"
+
+
+def test_quotes_of_every_sentence(spark, tmp_path):
+    passage = "Short. The second sentence of this passage speaks of collateral agreements.\n東京都の監査報告書. One (two). End ,"
+    docs = [(1, "short of it\nnone"), (2, "He said: the second sentence of this passage speaks of collateral agreements."), (3, "前文東京都の監査報告書後文"), (4, "one (two)"), (5, "endless")]
+    sf = write(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(7, passage)], "item_id long, text string"))
+    got = {(r.doc_id, r.ordinal, r.sentence, r.grounded) for r in registry.QUERIES["p8_all_quotes"](spark, sf).collect()}
+    assert got == {
+        (1, 1, 1, "short"), (2, 1, 2, "the second sentence of this passage speaks of collateral agreements"),
+        (3, 1, 3, "東京都の監査報告書"), (4, 1, 4, "one (two)"), (5, 1, 5, "end"),
+    }
