@@ -92,9 +92,9 @@ def clip(c: Column, most: int) -> Column:
 
 
 def safe_cell(c: Column) -> Column:
-    """Text that a spreadsheet neither cuts nor runs as a formula."""
-    cut = clip(c, 32_767)
-    return F.when(cut.rlike("^[=+@\\t\\r-]"), clip(F.concat(F.lit("'"), cut), 32_767)).otherwise(cut)
+    """Text that a spreadsheet neither cuts nor runs as a formula; what a cell cannot hold ends in a mark."""
+    held = lambda x: F.when(F.length(x) > 32_767, F.concat(clip(x, 32_767 - 14), F.lit(" … [gekürzt]"))).otherwise(x)
+    return once(held(c), lambda x: held(F.when(x.rlike("^[=+@\\t\\r-]"), F.concat(F.lit("'"), x)).otherwise(x)))
 
 
 def cited_numbers(c: Column) -> Column:

@@ -630,3 +630,19 @@ def s10_export_rows(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     bullets = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("• "), F.substring("text", 1, 40)).alias("s"))))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(bullets, lambda x: x["s"]), "\n").alias("passages"), F.max(safe_cell(F.col("text"))).alias("safe"))
+
+
+S10_WHOLE = """
+WITH c AS (SELECT conv_id, string_agg('• ' || text, chr(10) ORDER BY turn, text) AS passages, max(CASE WHEN regexp_matches(text, '^[=+@-]') THEN '''' || text ELSE text END) AS safe FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN length(passages) > 32767 THEN left(passages, 32753) || ' … [gekürzt]' ELSE passages END AS passages, safe FROM c"""
+
+
+@query(S10_WHOLE)
+def s10_whole_passages(spark, sf_dir):
+    """``s10_export_rows`` with whole passages, up to what a cell holds."""
+    from ..functions.text import safe_cell
+
+    c = table(spark, sf_dir, "conversations")
+    bullets = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("• "), F.col("text")).alias("s"))))
+    joined = F.array_join(F.transform(bullets, lambda x: x["s"]), "\n")
+    return c.groupBy("conv_id").agg(joined.alias("passages"), F.max(safe_cell(F.col("text"))).alias("safe")).withColumn("passages", safe_cell(F.col("passages")))

@@ -65,3 +65,13 @@ def test_quotes_of_every_sentence(spark, tmp_path):
         (1, 1, 1, "short"), (2, 1, 2, "the second sentence of this passage speaks of collateral agreements"),
         (3, 1, 3, "東京都の監査報告書"), (4, 1, 4, "one (two)"), (5, 1, 5, "end"),
     }
+
+
+def test_export_holds_whole_passages(spark, tmp_path):
+    long, full = "x" * 40_000, "=" + "y" * 32_766
+    rows = [(1, 0, "user", "a" * 50), (1, 1, "user", "b" * 50), (2, 0, "user", long), (3, 0, "user", full)]
+    sf = write(spark, tmp_path, conversations=(rows, "conv_id long, turn int, role string, text string"))
+    got = {r.conv_id: r for r in registry.QUERIES["s10_whole_passages"](spark, sf).collect()}
+    assert got[1].passages == "• " + "a" * 50 + "\n• " + "b" * 50
+    assert got[2].passages == ("• " + long)[:32_753] + " … [gekürzt]" and got[2].safe == long[:32_753] + " … [gekürzt]"
+    assert got[3].safe == ("'" + full)[:32_753] + " … [gekürzt]"
