@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exprs import let, occurrences
+from .exprs import let, occurrences, scanned as running
 
 #: Patterns of the known shapes, fixed values; leftmost matches, then the least length holds for group 2 or the match.
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -28,6 +28,8 @@ CLASSES = {"hex": ("^([0-9a-f]+|[0-9A-F]+)$", 2.95), "base36": ("^([0-9a-z]+|[0-
 ALLOWED = ("example", "EXAMPLE", "xxxxxxxx", "XXXXXXXX", "0123456789", "1234567890", "abcdefghij", "ABCDEFGHIJ", "deadbeef", "00000000", "placeholder", "changeme")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ("assign", "access", "hex", "entropy")
+#: Code points in which a text is cut to be put together again.
+PART = 1024
 
 
 def best_entropy(s: Column, width: int = WIDTH) -> Column:
@@ -69,10 +71,14 @@ def spans(text: Column) -> Column:
     def tagged(found: Column, kind: int) -> Column:
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["s"])).alias("end")))
 
+    def apart(every: Column) -> Column:
+        """Of spans in order, the base ones and the others that no base span holds: none before reaches as far."""
+        reach = running(F.transform(every, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(-1)), lambda a, b: F.greatest(a, b))
+        return let(reach, lambda r: F.filter(every, lambda x, i: (x["kind"] < 3) | (F.get(r, i) < x["end"])))
+
     def whole(base: Column) -> Column:
         more = F.filter(occurrences(text, CANDIDATE), lambda x: suspicious(x["s"]))
-        new = F.filter(tagged(more, 3), lambda m: ~F.exists(base, lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"])))
-        return F.array_sort(F.concat(base, new))
+        return let(F.array_sort(F.concat(base, tagged(more, 3))), apart)
 
     assign = F.filter(occurrences(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 2)) >= ASSIGN_LEAST)
     base = F.concat(tagged(assign, 0), tagged(occurrences(text, ACCESS), 1), tagged(occurrences(text, HEX), 2))
@@ -94,19 +100,32 @@ def scanned(docs: DataFrame, text_col: str = "text", out: str = "_spans") -> Dat
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows of ``docs`` with each maximal run of spans replaced by ``mark``."""
-    found = scanned(docs, text_col, "_spans")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The rows of ``docs`` with each maximal run of spans replaced by ``mark``; all other columns are untouched.
+
+    A text with spans is cut into parts of PART code points, and what stands between two
+    runs is read from its own parts only. So the work grows with the text and its spans,
+    not with their product.
+    """
     t = F.col(text_col)
-    hidden = F.aggregate(
-        F.col("_spans"),
-        zero,
-        lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(
-            F.struct(x["end"].alias("at"), F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.concat(F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise("")).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
-    )
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, hidden).otherwise(t)).drop("_spans")
+    parts = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+    def piece(parts: Column, lo: Column, hi: Column) -> Column:
+        first = F.floor(lo / PART).cast("int")
+        own = F.array_join(F.slice(parts, first + 1, F.floor((hi - 1) / PART).cast("int") - first + 1), "")
+        return F.when(hi <= lo, "").otherwise(F.substring(own, lo - first * PART + 1, hi - lo))
+
+    def heads(s: Column, reach: Column) -> Column:
+        """(lo, hi) of what stands before each run of spans; a run ends where the furthest span so far ends."""
+        before = F.transform(s, lambda x, i: F.struct(F.coalesce(F.get(reach, i - 1), F.lit(0)).alias("lo"), x["start"].alias("hi")))
+        return F.filter(before, lambda x, i: (i == 0) | (x["hi"] >= x["lo"]))
+
+    def hidden(s: Column, reach: Column, parts: Column) -> Column:
+        shown = F.transform(heads(s, reach), lambda x: F.concat(piece(parts, x["lo"], x["hi"]), F.lit(mark)))
+        return F.concat(F.array_join(shown, ""), piece(parts, F.element_at(reach, -1), F.length(t)))
+
+    ends = lambda s: running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    found = let(spans(F.coalesce(t, F.lit(""))), lambda s: F.when(F.size(s) == 0, t).otherwise(let(ends(s), lambda r: let(parts, lambda p: hidden(s, r, p)))))
+    return docs.withColumn(text_col, found)
 
 
 def oracle() -> str:
