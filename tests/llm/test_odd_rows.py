@@ -69,3 +69,17 @@ def test_stream_equals_whole():
         assert m.lookahead == sufficient_lookahead(merges)
         word = [rnd.choice("abc") for _ in range(rnd.randint(1, 300))]
         assert list(m.stream(word, 4)) == m.encode(word)
+
+
+def test_urls_beyond_a_plans_bits(spark):
+    rows = [(i, f"http://h{i % 40}.{'example.' * (i % 3)}{('com', 'net', 'org')[i % 3]}/{('en', 'de', 'es')[i // 3 % 3]}/{i % 11}") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = [(f"h{i}.com/", ("allow", "block")[i % 2]) for i in range(40)] + [("com/en/", "block"), ("net/", "block"), ("h7.example.net/de/", "allow")]
+    want = {}
+    for i, url in rows:
+        host, path = url[7:].split("/", 1)
+        fit = [(len(r), r, v) for r, v in rules if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and ("/" + path).startswith("/" + r.split("/", 1)[1])]
+        want[i] = max(fit)[1:] if fit else (None, "allow")
+    for bits in (urls.MOST_BITS, 64):
+        assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules, most_bits=bits).collect()} == want
+    assert {r.verdict for r in urls.judge(pages, ()).collect()} == {"allow"}
