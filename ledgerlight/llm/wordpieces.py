@@ -17,11 +17,11 @@ from .common import as_batch, keyed, small_batches
 
 
 class Automaton:
-    """Greedy longest-match counts. ``first``: pieces that may start a word; ``later``: pieces that may follow."""
+    """Greedy longest-match counts. ``first``: pieces that start a word; ``later``: pieces that follow, or start it where no first piece fits."""
 
     def __init__(self, first: set[bytes], later: set[bytes]):
         self.step: list[dict[int, int]] = [{}, {}]  # 0: start of a word, 1: within a word
-        self.fail: list[int] = [-1, -1]  # -1: no match from here
+        self.fail: list[int] = [1, -1]  # -1: no match from here
         self.pops: list[int] = [0, 0]
         whole: list[bool] = [False, False]
         for root, pieces in ((0, first), (1, later)):
@@ -97,8 +97,9 @@ def token_counts(docs: DataFrame, path: str, mark: str = "Ġ") -> DataFrame:
     """Words ``[^\\x20\\x09-\\x0D]+`` and greedy word pieces of every whole text.
 
     A null or empty text has 0 and 0. Repeated rows and null ids give one row each; other
-    columns are ignored; an empty table gives no rows. A word that the vocabulary cannot
-    cover counts as one piece.
+    columns are ignored; an empty table gives no rows. Where no piece that begins a word
+    fits, the word begins with another; one that the vocabulary cannot cover counts as one
+    piece.
     """
 
     def run(batches):

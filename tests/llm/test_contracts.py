@@ -91,7 +91,8 @@ def test_token_counts_are_greedy_pieces(spark):
     def brute(word):
         n, at, pieces = 0, 0, first
         while at < len(word):
-            size = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in pieces), 0)
+            longest = lambda pieces: next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in pieces), 0)
+            size = longest(pieces) or longest(later)
             if not size:
                 return 1
             n, at, pieces = n + 1, at + size, later
@@ -106,7 +107,10 @@ def test_token_counts_are_greedy_pieces(spark):
                 known[w] = brute(w)
         assert got[i] == (len(words), sum(known[w] for w in words))
     a = Automaton({b"ab", b"a"}, {b"c", b"bcd"})
-    assert [a.count(w) for w in (b"", b"ab", b"abc", b"abcd", b"abx", b"acc")] == [0, 1, 2, 1, 1, 3]
+    assert [a.count(w) for w in (b"", b"ab", b"abc", b"abx", b"acc", b"ca", b"cc")] == [0, 1, 2, 1, 3, 1, 2]
+    b = Automaton(first, later)
+    for w in ("привет", "统计数据", "한국어", "ไทย", "émigré"):  # some begin with bytes that no piece of a word's start has
+        assert b.count(w.encode()) == brute(w.encode()) > 1
 
 
 def test_neighbours_recall(spark):
