@@ -83,3 +83,24 @@ def test_urls_beyond_a_plans_bits(spark):
     for bits in (urls.MOST_BITS, 64):
         assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules, most_bits=bits).collect()} == want
     assert {r.verdict for r in urls.judge(pages, ()).collect()} == {"allow"}
+
+
+def test_license_digests_do_not_depend_on_wrapping(spark):
+    texts = ["use\nsub license all", "use sub\nlicense all", "USE sublicense, all!", "licence licence licences", "license license licenses"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.digest for r in licenses.scan(df).collect()}
+    assert got[0] == got[1] == got[2] and got[3] == got[4] != got[0]
+    whole = dict(licenses.KNOWN)["BSD-3-Clause"]
+    rewrapped = "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + "\n".join(whole.replace("\n", " ").split(" ")).replace("copyright\nholder\n", "copyright owner\n")
+    got = licenses.scan(spark.createDataFrame([(1, rewrapped), (2, "x " * 200_000)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == {1: "BSD-3-Clause", 2: None}
+
+
+def test_long_licenses_as_published(spark):
+    from pathlib import Path
+
+    place = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    rows = [(i, (place / f).read_text()) for f, i in names.items() if (place / f).exists()]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()} if rows else {}
+    assert got == {i: i for i, _ in rows}
