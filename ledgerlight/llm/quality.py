@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 from .exprs import WHITE, let, words
 
 #: Rules: name -> (good if, bad if), as SQL over the figures of a text.
@@ -90,26 +90,28 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[f
     return share, acc
 
 
-def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with column ``_q``: figures, base_failed, posterior and kept.
+def judged(docs: DataFrame, text_col: str = "text", out: str = "_q", keep: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` with column ``out``: figures, base_failed, posterior and kept.
 
     A null or empty text has all figures 0 and fails the base rule. Rows are judged one by
-    one: repeated rows and null ids are kept apart, other columns are untouched, an empty
-    table gives no rows.
+    one: repeated rows and null ids are kept apart, other columns are untouched (but one of
+    the name ``out``), an empty table gives no rows. With ``keep`` only those columns are
+    returned and written in between, not the texts.
     """
-    got = cut(docs.withColumn("_q", figures(F.col(text_col))), "quality")
-    counted = got.select("_q.*").groupBy(*votes()).count().collect()  # 3 to the number of rules at most
+    got = cut(docs.withColumn(out, figures(F.col(text_col))).select(*(docs.columns if keep is None else keep), out), "quality")
+    counted = got.select(f"{out}.*").groupBy(*votes()).count().collect()  # 3 to the number of rules at most
     share, acc = estimate([(tuple(r[f"v_{n}"] for n in RULES), r["count"]) for r in counted])
     score = F.lit(logit(share))
-    for vote, a in zip(votes("_q."), acc):
+    for vote, a in zip(votes(f"{out}."), acc):
         score = score + vote * F.lit(logit(a))
-    failed = F.expr(BASE.replace("n_", "_q.n_"))
-    return got.withColumn("_q", F.col("_q").withField("base_failed", failed).withField("posterior", 1 / (1 + F.exp(-score))).withField("kept", ~failed & (score >= 0)))
+    failed = F.expr(BASE.replace("n_", f"{out}.n_"))
+    return got.withColumn(out, F.col(out).withField("base_failed", failed).withField("posterior", 1 / (1 + F.exp(-score))).withField("kept", ~failed & (score >= 0)))
 
 
 def filtered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, without further columns; see ``judged``."""
-    return judged(docs, text_col).where("_q.kept").drop("_q")
+    own = free_name(docs, "_q")
+    return judged(docs, text_col, own).where(F.col(own)["kept"]).select(*docs.columns)
 
 
 def oracle() -> str:

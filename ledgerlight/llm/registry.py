@@ -54,7 +54,7 @@ def op7_packing(spark, sf_dir):
 
 def op8_quality(spark, sf_dir):
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return quality.judged(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", *(f"_q.{f}" for f in fields))
+    return quality.judged(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", *(f"_q.{f}" for f in fields))
 
 
 def op9_token_counts(spark, sf_dir):

@@ -35,6 +35,8 @@ def test_quality(docs):
     assert len(got) == 6 and all(r.base_failed and not r.kept for r in got)
     assert quality.filtered(docs).columns == docs.columns
     assert quality.judged(docs.limit(0)).count() == 0
+    clash = docs.withColumnRenamed("lines", "_q")
+    assert quality.filtered(clash).columns == clash.columns
 
 
 def test_secrets(docs):
