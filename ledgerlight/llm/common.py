@@ -15,12 +15,32 @@ def shared_dir(spark: SparkSession) -> str:
     return got or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
+def _on_disk(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: ends the lineage, survives lost executors, and is computed once."""
+    """Write ``df`` to the shared folder and read it back: ends the lineage, survives lost executors, and is computed once.
+
+    The folder goes when the application ends, or earlier by ``release``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at, fs = _on_disk(spark, path)
+    fs.deleteOnExit(at)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._cut_path = path
+    return got
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` whose readers have all been written themselves."""
+    for t in tables:
+        at, fs = _on_disk(t.sparkSession, t._cut_path)
+        fs.delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Run-length index of a set of strings: a run-compressed Burrows-Wheeler transform with sampled run ends.
+"""Run-length index of a set of strings: a run-compressed Burrows-Wheeler transform with samples at run ends.
 
-The index holds one entry for each run of equal letters, so copies cost next to nothing.
-``stream`` walks all strings backwards at once by LF steps and yields, for every place
-whose next ``depth`` bytes stand elsewhere too, the group of equal strings it belongs to.
+The index holds one entry for each run of equal letters, so copies cost next to nothing:
+where the run begins, where its first row goes by the LF step, and the match length there.
+``stream`` walks all strings backwards at once and carries the matching statistics: from a
+row to the next the length of the match with the row above grows by one, unless the row is
+the first of its run; then the sample says it.
 """
 
 from __future__ import annotations
@@ -22,35 +24,34 @@ class RunIndex:
         symbols = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + 1
         ends = np.cumsum(self.lengths + 1) - 1
         symbols[ends] = 0
-        n = len(symbols)
+        self.n = n = len(symbols)
         rest = np.repeat(ends, self.lengths + 1) - np.arange(n)  # symbols before the terminator
-        rank_depth, order = self._sorted(symbols, rest, n)
+        levels, order = self._sorted(symbols, rest, n)
         before = np.where(order > 0, symbols[order - 1], 0)
         self.starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
-        self.letters = before[self.starts]
+        letters = before[self.starts]
         sizes = np.diff(np.concatenate((self.starts, [n])))
-        counts = np.bincount(before, minlength=257)
-        first = np.concatenate(([0], np.cumsum(counts)))[:-1]
-        by_letter = np.argsort(self.letters, kind="stable")
+        by_letter = np.argsort(letters, kind="stable")
         runs = sizes[by_letter]
-        earlier = np.cumsum(runs) - runs  # rows of the same and smaller letters before the run, in order of letters
-        self.base = np.empty(len(self.starts), np.int64)
-        self.base[by_letter] = earlier  # LF of a run's first row
-        assert len(first)
-        self.ends_at = order[np.concatenate((self.starts[1:], [n])) - 1]  # text position of each run's last row
-        # groups of rows whose suffixes agree in ``depth`` symbols, and that have more than one row
-        half, gap = rank_depth
-        a, b = order[1:], order[:-1]
-        far = np.minimum(a + gap, n - 1), np.minimum(b + gap, n - 1)
-        same = (rest[a] >= depth) & (rest[b] >= depth) & (half[a] == half[b]) & (half[far[0]] == half[far[1]])
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
-        self.group_first, self.group_last = edge[::2], edge[1::2]
+        self.goes_to = np.empty(len(self.starts), np.int64)
+        self.goes_to[by_letter] = np.cumsum(runs) - runs  # LF of a run's first row: rows of smaller letters, and of this one in earlier runs
+        self.match = np.zeros(len(self.starts), np.int64)  # of that row with the one above, ``depth`` at most
+        inner = np.flatnonzero((letters > 0) & (self.goes_to > 0))
+        to = self.goes_to[inner]
+        self.match[inner] = self._common(levels, symbols, rest, order[to - 1], order[to])
+
+    def _common(self, levels, symbols, rest, a, b) -> np.ndarray:
+        """Lengths of the common beginnings of suffixes, by ranks of falling prefix lengths, then single symbols."""
+        got, last = np.zeros(len(a), np.int64), self.n - 1
+        for h, rank in (*reversed(levels), *[(1, symbols)] * 3):
+            got += h * (rank[np.minimum(a + got, last)] == rank[np.minimum(b + got, last)])
+        return np.minimum(np.minimum(got, self.depth), np.minimum(rest[a], rest[b]))
 
     def _sorted(self, symbols: np.ndarray, rest: np.ndarray, n: int):
-        """Ranks of the prefixes that decide ``depth``, and all suffixes in order, equal ones by place.
+        """(length, ranks of all prefixes of that length) for doubling lengths, and all suffixes in order, equal ones by place.
 
-        Prefix doubling; the place stands in the low bits of each key, so that sorting the
-        keys alone gives the order.
+        The place stands in the low bits of each key, so that sorting the keys alone gives
+        the order.
         """
         most = int(self.lengths.max(initial=0)) + 1
         bits = max(1, (n - 1).bit_length())
@@ -63,42 +64,33 @@ class RunIndex:
             part[: n - j] = symbols[j:]
             part[rest < j] = 0
             key = key << 9 | part
-        h, decided = 4, None
+        h, levels = 4, []
         while True:
             s = np.sort(key << bits | place)
             order = s & ((1 << bits) - 1)
             s >>= bits
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate(([0], (s[1:] != s[:-1]).astype(np.int64))))
-            alone = s[-1] >= 0 and len(s) == rank[order[-1]] + 1
-            if decided is None and (alone or h >= most or 2 * h >= self.depth):
-                decided = rank, max(0, self.depth - h)
-            if alone or h >= most:
-                return decided, order
+            levels.append((h, rank))
+            if n == rank[order[-1]] + 1 or h >= most:
+                return levels, order
             further = np.zeros(n, np.int64)
             further[: n - h] = rank[h:]
             further[rest < h] = 0
             key, h = rank << bits | further, 2 * h
 
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """LF: from the row of a suffix to that of the suffix one symbol longer."""
-        run = np.searchsorted(self.starts, rows, "right") - 1
-        return self.base[run] + rows - self.starts[run]
-
     def stream(self):
         """(group, string, start) arrays for all places whose next ``depth`` bytes stand more than once."""
         order = np.argsort(-self.lengths, kind="stable")
         lengths = self.lengths[order]
-        rows = order.copy()  # the terminators are the first rows, in order of the strings
-        groups, strings, starts = [], [], []
+        rows, match = order.copy(), np.zeros(self.m, np.int64)  # the terminators are the first rows, in order of the strings
+        above, string, start = np.zeros(self.n + 1, bool), np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
         for t in range(1, int(lengths[0]) + 1 if len(lengths) else 1):
             live = int(np.searchsorted(-lengths, -t, "right"))
-            rows = self.step(rows[:live])
-            if t >= self.depth and len(self.group_first):
-                g = np.searchsorted(self.group_first, rows, "right") - 1
-                hit = np.flatnonzero((g >= 0) & (rows <= self.group_last[g]))
-                groups.append(g[hit])
-                strings.append(order[hit])
-                starts.append(lengths[hit] - t)
-        none = [np.zeros(0, np.int64)]
-        return tuple(np.concatenate(x or none) for x in (groups, strings, starts))
+            rows, match = rows[:live], match[:live]
+            run = np.searchsorted(self.starts, rows, "right") - 1
+            inside = rows - self.starts[run]
+            rows, match = self.goes_to[run] + inside, np.where(inside > 0, match + 1, self.match[run])
+            above[rows], string[rows], start[rows] = match >= self.depth, order[:live], lengths[:live] - t
+        hit = np.flatnonzero(above[:-1] | above[1:])  # matches the row above or the one below
+        return np.cumsum(~above[:-1])[hit], string[hit], start[hit]

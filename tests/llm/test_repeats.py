@@ -72,3 +72,34 @@ def test_removed_keeps_columns(spark):
     got = {r.doc_id: r for r in repeats.removed(df).collect()}
     assert got[2].text == "z" and got[2].size == 6 and got[3].text is None and got[3]._x == "r"
     assert repeats.removed(df).columns == df.columns
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    rnd = random.Random(7)
+    pieces = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(30, 260))) for _ in range(40)]
+    rows = [(rnd.choice([None, None, 5, k]), "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 2))) + "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 150)))) for k in range(400)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _repeat_id int, _repeats int").repartition(3)
+    hashed = {r.t: r.h for r in df.selectExpr("text AS t", "xxhash64(text) AS h").collect()}
+    want = brute([((i if i is not None else -(1 << 63), hashed[t]), t.encode()) for i, t in rows], 100)
+    got = {(r.doc_id if r.doc_id is not None else -(1 << 63), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digests(df).collect()}
+    assert got == {(k[0], *v) for k, v in want.items()} and sum(v[1] for v in want.values()) > 0
+    assert repeats.digests(df).count() == 400 and repeats.removed(df).columns == df.columns
+
+
+def test_a_text_without_repeats_is_left_alone(spark):
+    rnd = random.Random(8)
+    rows = [(None, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rnd.randint(300, 900)))) for _ in range(500)]
+    got = repeats.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 500 and all(r.n_removed == 0 for r in got)
+
+
+def test_crowded_anchors(spark, monkeypatch):
+    rnd = random.Random(9)
+    line = "".join(rnd.choice("abcdefghij") for _ in range(130))
+    rows = [(i, "".join(rnd.choice("klmnop") for _ in range(90)) + line + "".join(rnd.choice("qrstuv") for _ in range(90))) for i in range(200)]
+    check(spark, rows)
+    monkeypatch.setattr(repeats, "COUNTERS", 50)
+    monkeypatch.setattr(repeats, "HOT", 30)
+    check(spark, rows, most=10)
+    found = repeats.crowded(spark.createDataFrame([(i, 0, t) for i, t in rows], "id long, tie long, text string"), 100, 32, 10)
+    assert 0 < len(found) <= 50
