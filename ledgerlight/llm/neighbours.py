@@ -6,6 +6,10 @@ dimensions, where a kd-tree holds them: its upper part deals them to cells, its
 stands in each cell. A query visits leaves by projected distance and verifies the vectors
 there. Projected over true squared distance follows a chi-square law, so the search stops
 when the next leaf's share of the k-th best distance exceeds the law's quantile.
+
+No task holds more than the tree of one part of a cell: cells with more rows are split by
+a hash into parts that are all searched, queries stream by in small blocks, and cells that
+very many queries visit are copied for groups of queries.
 """
 
 from __future__ import annotations
@@ -14,18 +18,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, cut
+from .common import as_batch, cut, small_batches
 
-DIMENSIONS, LEAF, CELL = 8, 64, 4096
+DIMENSIONS, LEAF, CELL = 8, 32, 2048
 #: Chance that a nearer vector at the k-th best distance has been seen when the search stops.
 SURE = 0.95
 #: Rows from which the upper part of the tree is cut; every row is indexed.
 SAMPLE = 4096
-#: Cells at most; they grow in rows beyond.
+#: Cells of the upper part at most; those with more than CELL rows are split into parts.
 CELLS = 1024
+#: Queries that one copy of a cell's part answers, and that are answered at a time.
+QUERIES, BLOCK = 8192, 256
+#: Vectors kept beyond those asked for, so that rounding in blocks drops none that ties.
+SPARE = 3
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -102,7 +111,7 @@ class Tree:
         self.at = np.concatenate(([0], np.cumsum([len(x) for x in leaves])))
         self.low = np.array([points[x].min(0) for x in leaves])
         self.high = np.array([points[x].max(0) for x in leaves])
-        self.lift = lift
+        self.lift, self.visits = lift, 0  # visits: leaves that queries have looked at
 
     def search(self, queries: np.ndarray, bound: np.ndarray, k: int, quantile: float):
         """Scores and row numbers of the ``k`` nearest; ``bound``: squared distance of the k-th best known so far."""
@@ -120,6 +129,7 @@ class Tree:
             live, leaf = live[go], leaf[go]
             if not len(live):
                 break
+            self.visits += len(live)
             order = np.argsort(leaf, kind="stable")
             edge = np.flatnonzero(np.diff(leaf[order], prepend=-1, append=-1))
             for a, b in zip(edge[:-1], edge[1:]):
@@ -133,9 +143,20 @@ class Tree:
                     rows = np.concatenate((row[q], np.broadcast_to(np.arange(lo, hi), (len(q), hi - lo))), axis=1)
                     best = np.lexsort((ids[rows], -s), axis=-1)[:, :k]
                     score[q], row[q] = np.take_along_axis(s, best, 1), np.take_along_axis(rows, best, 1)
+        # the final scores are sums over single pairs, the same in whatever block a pair is met
+        i, j = np.nonzero(row >= 0)
+        for lo in range(0, len(i), 1 << 14):
+            a, c = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+            score[a, c] = (queries[a] * self.vectors[row[a, c]]).sum(1)
         return score, row
 
 
+def _by_cell(of: dict[int, int]) -> Column:
+    """A number for each value of column ``cell``, as a constant of the plan; 1 where there is none."""
+    known = sorted(of.items())
+    return F.coalesce(F.try_element_at(F.map_from_arrays(F.array(*(F.lit(c) for c, _ in known)), F.array(*(F.lit(n) for _, n in known))), F.col("cell")), F.lit(1)) if known else F.lit(1)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
 
@@ -172,39 +193,39 @@ def _classes(rows: DataFrame, keep: int, every: int) -> DataFrame:
 FOUND = pa.schema([("query", pa.int64()), ("score", pa.float64()), ("rep", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
 
-def _searched(rows: DataFrame, asked: DataFrame, lift: Lift, k: int, quantile: float) -> DataFrame:
-    """Each asked (cell, query, vector, bound) in its cell's tree."""
-
-    def answers(index, queries):
-        reps, lists, vectors = index
-        tree = Tree(np.array(reps, np.int64), _matrix(pa.array(vectors, pa.binary())), lift)
-        for lo in range(0, len(queries), 256):
-            part = queries[lo : lo + 256]
-            score, row = tree.search(_matrix(pa.array([q[1] for q in part], pa.binary())), np.array([q[2] for q in part]), k, quantile)
-            i, j = np.nonzero(row >= 0)
-            at = tree.order[row[i, j]]
-            yield as_batch(FOUND, np.array([q[0] for q in part], np.int64)[i], score[i, j], tree.ids[row[i, j]], [lists[x] for x in at])
+def _searched(rows: DataFrame, asked: DataFrame, lift: Lift, k: int, quantile: float, parts: Column, groups: Column) -> DataFrame:
+    """Each asked (cell, query, vector, bound) in all parts of its cell; ``parts`` and ``groups``: how many the column ``cell`` has."""
+    keys = ["cell", "part", "group"]
 
     def run(batches):
-        cell, index, queries = None, ([], [], []), []
+        now, held, tree, lists = None, [], None, None
         for b in batches:
-            for c, bound, rep, vector, ids in zip(*(b.column(k).to_pylist() for k in range(5))):
-                if c != cell:
-                    if index[0] and queries:
-                        yield from answers(index, queries)
-                    cell, index, queries = c, ([], [], []), []
-                if bound is None:
-                    for a, v in zip(index, (rep, ids, vector)):
-                        a.append(v)
-                else:
-                    queries.append((rep, vector, bound))
-        if index[0] and queries:
-            yield from answers(index, queries)
-
-    both = rows.select("cell", F.lit(None).cast("double").alias("bound"), "rep", "vector", "ids").unionByName(
-        asked.select("cell", "bound", F.col("query").alias("rep"), "vector", F.lit(None).cast("array<long>").alias("ids"))
-    )
-    return both.repartition("cell").sortWithinPartitions("cell", F.col("bound").asc_nulls_first(), "rep").mapInArrow(run, "query long, score double, rep long, ids array<long>")
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy() for c in range(3)])
+            asks = pc.is_valid(b.column(3)).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0) | (asks[1:] != asks[:-1]), [True])))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if tuple(key[:, lo]) != now:
+                    now, held, tree = tuple(key[:, lo]), [], None
+                own = b.slice(lo, hi - lo)
+                if not asks[lo]:
+                    held.append(own)
+                    continue
+                if tree is None and held:
+                    t = pa.Table.from_batches(held)
+                    tree, lists, held = Tree(t.column(4).to_numpy(), _matrix(t.column(5).combine_chunks()), lift), t.column(6).combine_chunks(), []
+                for at in range(0, own.num_rows if tree is not None else 0, BLOCK):
+                    q = own.slice(at, BLOCK)
+                    score, row = tree.search(_matrix(q.column(5)), q.column(3).to_numpy(), k, quantile)
+                    i, j = np.nonzero(row >= 0)
+                    found = row[i, j]
+                    yield pa.RecordBatch.from_arrays([q.column(4).take(pa.array(i)), pa.array(score[i, j]), pa.array(tree.ids[found]), lists.take(pa.array(tree.order[found]))], schema=FOUND)
+
+    index = rows.withColumn("group", F.explode(F.sequence(F.lit(0), groups - 1))).select("cell", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "group", F.lit(None).cast("double").alias("bound"), "rep", "vector", "ids")
+    queries = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", "part", F.pmod(F.xxhash64("query"), groups).cast("int").alias("group"), "bound", F.col("query").alias("rep"), "vector", F.lit(None).cast("array<long>").alias("ids"))
+    both = index.unionByName(queries).repartition(*keys).sortWithinPartitions(*keys, F.col("bound").asc_nulls_first(), "rep")
+    return both.mapInArrow(run, "query long, score double, rep long, ids array<long>")
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -242,32 +263,51 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
                 yield as_batch(celled_schema, upper.cells(p).astype(np.int32), [x[0] for x in b.column(1).to_pylist()], b.column(0), b.column(1), b.column(2), p.tolist())
 
     index = cut(_classes(rows, k + 1, every).mapInArrow(celled, "cell int, rep long, vector binary, ids array<long>, asks boolean, point array<double>"), "vectors")
-    boxes = index.groupBy("cell").agg(*(f(F.col("point")[j]).alias(f"{f.__name__}{j}") for j in range(DIMENSIONS) for f in (F.min, F.max))).collect()  # as many as cells
+    edges = [f(F.col("point")[j]).alias(f"{f.__name__}{j}") for j in range(DIMENSIONS) for f in (F.min, F.max)]
+    boxes = index.groupBy("cell").agg(F.count("*").alias("n"), *edges).collect()  # CELLS at most
     cells = np.array([r.cell for r in boxes], np.int32)
     low, high = (np.array([[r[f"{f}{j}"] for j in range(DIMENSIONS)] for r in boxes]) for f in ("min", "max"))
+    parts = _by_cell({r.cell: math.ceil(r.n / CELL) for r in boxes})
 
     asked_schema = pa.schema([("cell", pa.int32()), ("query", pa.int64()), ("vector", pa.binary()), ("bound", pa.float64())])
 
+    def visited(b, first: bool):
+        """(query row, cell row) of the cells that queries look at, the home cell first, the others after; and their bounds."""
+        x = _matrix(b.column(1))
+        near = box_distances(lift.queries(x), low, high)
+        home = np.argmin(near, axis=1)
+        bound = np.full(len(x), np.inf) if first else lift.most + (x * x).sum(1) - 2 * b.column(2).to_numpy(zero_copy_only=False)
+        go = np.zeros(near.shape, bool) if first else near <= quantile * bound[:, None]
+        go[np.arange(len(x)), home] = first
+        return *np.nonzero(go), bound
+
     def asked(batches, first: bool):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(1))
-            near = box_distances(lift.queries(x), low, high)
-            home = np.argmin(near, axis=1)
-            base = lift.most + (x * x).sum(1)
-            bound = np.full(len(x), np.inf) if first else base - 2 * b.column(2).to_numpy(zero_copy_only=False)
-            go = np.zeros(near.shape, bool) if first else near <= quantile * bound[:, None]
-            go[np.arange(len(x)), home] = first
-            i, j = np.nonzero(go)
-            yield as_batch(asked_schema, cells[j], b.column(0).to_numpy()[i], [b.column(1)[int(a)].as_py() for a in i], bound[i])
-
-    kinds = "cell int, query long, vector binary, bound double"
+        for b in small_batches(batches, 1 << 18):
+            if b.num_rows:
+                i, j, bound = visited(b, first)
+                for lo in range(0, len(i), 1 << 14):  # a query's vector goes to each of its cells
+                    a, c = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[c]), b.column(0).take(pa.array(a)), b.column(1).take(pa.array(a)), pa.array(bound[a])], schema=asked_schema)
+
+    def counted(batches, first: bool):
+        n = np.zeros(len(cells), np.int64)
+        for b in small_batches(batches, 1 << 18):
+            if b.num_rows:
+                n += np.bincount(visited(b, first)[1], minlength=len(n))
+        yield as_batch(pa.schema([("cell", pa.int32()), ("n", pa.int64())]), cells, n)
+
+    def answers(queries: DataFrame, first: bool) -> DataFrame:
+        n = queries.mapInArrow(lambda b: counted(b, first), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CELLS at most
+        groups = _by_cell({r.cell: max(1, math.ceil(r.n / QUERIES)) for r in n})
+        return _searched(index, queries.mapInArrow(lambda b: asked(b, first), "cell int, query long, vector binary, bound double"), lift, k + 1 + SPARE, quantile, parts, groups)
+
     queries = index.where("asks").select(F.col("rep").alias("query"), "vector")
-    home = cut(_searched(index, queries.mapInArrow(lambda b: asked(b, True), kinds), lift, k + 1, quantile), "neighbours")
-    kth = home.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("kth"))
-    further = queries.join(kth, "query").select("query", "vector", "kth").mapInArrow(lambda b: asked(b, False), kinds)
-    found = home.unionByName(_searched(index, further, lift, k + 1, quantile))
+    home = cut(answers(queries, True), "neighbours")
+    # a cell's parts each give their best: the k-th best so far is that of all
+    ranked = home.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1)
+    kth = ranked.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("kth"))
+    further = cut(queries.join(kth, "query").select("query", "vector", "kth"), "bounds")
+    found = home.unionByName(answers(further, False))
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
