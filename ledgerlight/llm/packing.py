@@ -23,8 +23,8 @@ from .bpe import byte_alphabet
 from .common import as_batch, cut, keyed, small_batches
 
 WINDOW = 2048
-#: Documents that one index shard holds on average.
-SHARD_DOCS = 512
+#: Documents that one index shard holds, and bytes of ids from which it holds no more.
+SHARD_DOCS, SHARD_BYTES = 512, 64 << 20
 K1, B = 1.2, 0.75
 
 _loaded: dict[str, object] = {}
@@ -177,17 +177,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shar
     stats = spark.sparkContext.broadcast((np.log1p((n_docs - df + 0.5) / (df + 0.5)), sum(r.n for r in seen) / max(1, n_docs)))
 
     def run(batches):
-        rows = [(d, i) for b in batches for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        if not rows:
-            return
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 40
+        base, n = TaskContext.get().partitionId() << 40, 0
         idf, mean = stats.value
-        ids = [np.frombuffer(x, "<u4") for _, x in rows]
-        n = 0
-        for lo in range(0, len(ids), 2 * shard_docs):  # a partition holds about shard_docs; twice that at most in one index
-            part = ids[lo : lo + 2 * shard_docs]
+        for rows in shards(batches):
+            part = [np.frombuffer(x, "<u4") for _, x in rows]
             index = Index(part, idf, mean)
             out: list[list] = [[] for _ in PIECES]
             windows = filled([len(x) for x in part], lambda d: np.argsort(-index.scores(d), kind="stable").tolist(), window)
@@ -195,12 +190,26 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shar
             for seq in (*windows, *(powers(last) if last else ())):
                 at = 0
                 for d, start, length in seq:
-                    for column, v in zip(out, (rows[lo + d][0], start, length, zlib.crc32(part[d][start : start + length].tobytes()), len(part[d]), base + n, at)):
+                    for column, v in zip(out, (rows[d][0], start, length, zlib.crc32(part[d][start : start + length].tobytes()), len(part[d]), base + n, at)):
                         column.append(v)
                     at += length
                 n += 1
             yield as_batch(PIECES, *out)
 
-    shards = max(1, -(-n_docs // shard_docs))
-    dealt = tokens.repartitionByRange(shards, "shard_key", "tie", "doc_id").sortWithinPartitions("shard_key", "tie", "doc_id")
+    def shards(batches):
+        """Rows of one index at a time, in the order of the lexical key: ``shard_docs`` documents or SHARD_BYTES of ids."""
+        rows, size = [], 0
+        for b in batches:
+            for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows.append((d, i))
+                size += len(i)
+                if len(rows) >= shard_docs or size >= SHARD_BYTES:
+                    yield rows
+                    rows, size = [], 0
+        if rows:
+            yield rows
+
+    # as many partitions as the session shuffles to, whatever the rows: each holds many shards, one after the other
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tokens.repartitionByRange(max(1, min(most, -(-n_docs // shard_docs))), "shard_key", "tie", "doc_id").sortWithinPartitions("shard_key", "tie", "doc_id")
     return dealt.select("doc_id", "ids").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
