@@ -1,10 +1,11 @@
 """Byte-pair encoding and decoding as a bounded-lookahead streaming transducer.
 
 The merge list fixes how many symbols past a point can still change the tokens before
-it (``sufficient_lookahead``). A word of any length is therefore encoded through a
-window: tokens that end further than that bound before the window's end are stable and
-are emitted, and reading restarts at the last emitted boundary. Decoding is a state
-machine that takes tokens one by one and holds back only an unfinished character.
+it (``sufficient_lookahead``). Every word is therefore encoded through a window: tokens
+that end further than that bound before the window's end are stable and are emitted, and
+reading restarts at the last emitted boundary. Decoding is a state machine that takes
+tokens one by one and holds back only an unfinished character. Of a text only a bounded
+number of words, or of tokens of one long word, is held as tokens at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import json
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -27,11 +30,49 @@ from .common import as_batch, keyed, small_batches
 CACHE = 200_000
 #: Symbols that a window holds besides the lookahead.
 WINDOW = 512
+#: Words, or tokens of a long word, that are held at a time; characters from which a word is long and is not remembered.
+HELD, LONG = 4096, 64
 NEVER = 1 << 60
 #: Unicode white space, as the public library's patterns take it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: Unicode 16 beside Python's own tables of 15.1, fixed values: ranges of new letters and of new numbers.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: Capital letters of Unicode 16 and 17 (first, last, lower case of the first), fixed values.
+NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B),
+    (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+#: Letters that Latin texts use most: they are told first.
+COMMON = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u02af"
+
+
+def ranges(codes: Iterable[int]) -> str:
+    """A character class's content for sorted code points."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@cache
+def character_class(kind: str, new: tuple[tuple[int, int], ...]) -> str:
+    """The letters (L) or numbers (N) of Unicode 16 as a set of the ``regex`` module, whatever version that module knows."""
+    own = {c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind} | {c for a, b in new for c in range(a, b + 1)}
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    module = {ord(c) for c in regex.findall(rf"\p{{{kind}}}", every)}
+    base = rf"[\p{{{kind}}}--[{more}]]" if (more := ranges(sorted(module - own))) else rf"\p{{{kind}}}"
+    return (COMMON if kind == "L" else "0-9") + base + ranges(sorted(own - module))
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -155,16 +196,28 @@ def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
 
 
 class Decoder:
-    """Byte-to-text state machine: push tokens of a byte-level vocabulary, get text as soon as characters are whole."""
+    """Byte-to-text state machine: push tokens one by one, get text as soon as characters are whole.
 
-    def __init__(self):
-        self.byte = {c: i for i, c in enumerate(byte_alphabet())}
-        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+    Tokens of a byte-level vocabulary stand for bytes. A file without a decoder joins its
+    tokens by blanks: the bytes of each token come after one, but for the first.
+    """
+
+    def __init__(self, byte_level: bool):
+        self.byte = {c: bytes([i]) for i, c in enumerate(byte_alphabet())} if byte_level else None
+        self.lead = b"" if byte_level else b" "
+        self.state, self.begun = codecs.getincrementaldecoder("utf-8")("replace"), False
 
     def push(self, token: str) -> str:
-        return self.state.decode(bytes(self.byte[c] for c in token))
+        raw = b"".join([self.byte.get(c) or c.encode() for c in token]) if self.byte else token.encode()
+        raw, self.begun = (self.lead if self.begun else b"") + raw, True
+        return self.state.decode(raw)
+
+    def whole(self) -> bool:
+        """Whether no part of a character is held back."""
+        return not self.state.getstate()[0]
 
     def close(self) -> str:
+        self.begun = False
         return self.state.decode(b"", True)
 
 
@@ -183,14 +236,27 @@ class Tokenizer:
         self.merges = Merges(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.normal = spec["normalizer"] is not None
-        if self.normal:
-            self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
-        else:
-            self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+        self.normal, self.byte_level = spec["normalizer"] is not None, spec["decoder"] is not None
+        self.latin, self.any = self._pattern(r"\p{L}", r"\p{N}"), None
         self.alphabet = byte_alphabet()
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def _pattern(self, letter: str, number: str):
+        if self.normal:
+            return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{WHITE}{letter}{number}]+", regex.V1)
+        return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+", regex.V1)
+
+    def words(self, text: str) -> Iterator[str]:
+        """Words of normalised text; all tables agree on the characters of Latin-1."""
+        try:
+            text.encode("latin-1")
+            pattern = self.latin
+        except UnicodeEncodeError:
+            if self.any is None:
+                self.any = self._pattern(character_class("L", NEW_LETTERS), character_class("N", NEW_NUMBERS))
+            pattern = self.any
+        return map(regex.Match.group, pattern.finditer(text))
+
     def pieces(self, text: str) -> Iterator[str | int]:
         """Words in order, and the id of each added token found verbatim."""
         for k, part in enumerate(self.marks.split(text) if self.marks else [text]):
@@ -198,39 +264,50 @@ class Tokenizer:
                 yield self.added[part]
             elif part:
                 if self.normal:
-                    part = lowered(part if part.isascii() else unicodedata.normalize("NFC", part))
-                yield from self.word.findall(part)
+                    part = part.lower() if part.isascii() else lowered(unicodedata.normalize("NFC", part))
+                yield from self.words(part)
 
-    def word_tokens(self, word: str) -> list[str]:
-        letters = self.alphabet
-        symbols = [letters[b] for b in word.encode("utf-8", "replace")]
-        if self.suffix:
-            symbols[-1] += self.suffix
-        return list(self.merges.stream(symbols)) if len(symbols) > WINDOW else self.merges.encode(symbols)
+    def word_tokens(self, word: str) -> Iterator[str]:
+        """Tokens of a word, by the transducer."""
+        symbols = map(self.alphabet.__getitem__, word.encode("utf-8", "replace"))
+        return self.merges.stream(ended(symbols, self.suffix) if self.suffix else symbols)
 
     def word_ids(self, word: str) -> tuple[int, ...]:
         if (got := self.known.get(word)) is None:
             got = tuple(map(self.merges.vocab.__getitem__, self.word_tokens(word)))
             if len(self.known) >= CACHE:
                 self.known.clear()
-            if len(word) <= 64:
+            if len(word) <= LONG:
                 self.known[word] = got
         return got
 
     def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, slow = self.known.get, self.word_ids
-        for p in self.pieces(text):
-            if p.__class__ is int:
-                out.append(p)
-            else:
-                out += known(p) or slow(p)
-        return out
+        return [i for p in self.pieces(text) for i in ((p,) if p.__class__ is int else self.word_ids(p))]
+
+
+def ended(symbols: Iterable[str], suffix: str) -> Iterator[str]:
+    """The symbols, the last with a word's end."""
+    last = None
+    for s in symbols:
+        if last is not None:
+            yield last
+        last = s
+    if last is not None:
+        yield last + suffix
+
+
+CAPITALS = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in NEW_CAPITALS) + "]")
+
+
+def _new_lower(m) -> str:
+    c = ord(m[0])
+    return next(chr(c - a + to) for a, b, to in NEW_CAPITALS if a <= c <= b)
 
 
 def lowered(text: str) -> str:
-    """Lower case character by character, without the rule for a final sigma."""
-    return text.replace("Σ", "σ").lower()
+    """Lower case character by character, without the rule for a final sigma, with capitals newer than Python's tables."""
+    text = text.replace("Σ", "σ").lower()
+    return CAPITALS.sub(_new_lower, text) if max(text, default="") >= chr(NEW_CAPITALS[0][0]) else text
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -244,22 +321,43 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class Digester(dict):
-    """word -> (ids, their decimal text, their decoded text), made once for each word."""
+    """word -> (number of ids, their decimal text, their decoded text), each begun as within a text; made once for each word."""
 
     def __init__(self, tok: Tokenizer):
         super().__init__()
         self.tok = tok
         self.names = {i: t for t, i in tok.merges.vocab.items()} | {i: t for t, i in tok.added.items()}
+        self.decoder = Decoder(tok.byte_level)
+        self.decoder.push("")
+
+    def of(self, tokens: Iterable[int]):
+        ids = list(tokens)
+        return len(ids), "".join([f" {i}" for i in ids]), "".join([self.decoder.push(self.names[i]) for i in ids])
 
     def __missing__(self, word):
-        ids = (word,) if word.__class__ is int else self.tok.word_ids(word)
-        got = (len(ids), ",".join(map(str, ids)).replace(",", " "), " ".join(map(self.names.__getitem__, ids)))
+        got = self.of((word,) if word.__class__ is int else map(self.tok.merges.vocab.__getitem__, self.tok.word_tokens(word)))
         if len(self) >= CACHE:
             self.clear()
-        if word.__class__ is int or len(word) <= 64:
-            self[word] = got
+        assert self.decoder.whole()  # a word is whole characters: what it decodes to does not depend on what stood before
+        self[word] = got
         return got
 
+    def text(self, text: str) -> Iterator[list[tuple[int, str, str]]]:
+        """A text's words, at most HELD of them at a time, or as many tokens of a long word."""
+        held = []
+        for p in self.tok.pieces(text):
+            if p.__class__ is int or len(p) <= LONG:
+                held.append(self[p])
+            else:
+                yield held
+                held, ids = [], map(self.tok.merges.vocab.__getitem__, self.tok.word_tokens(p))
+                while some := list(islice(ids, HELD)):
+                    yield [self.of(some)]
+            if len(held) >= HELD:
+                yield held
+                held = []
+        yield held
+
 
 ROUND_TRIP = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -273,15 +371,20 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
-        tok = tokenizer(path)
-        digest = Digester(tok)
+        digest = Digester(tokenizer(path))
+        skip = len(digest.decoder.lead)
         for b in small_batches(batches):
             counts, ids, texts = [], [], []
             for t in b.column(1).to_pylist():
-                got = [digest[p] for p in tok.pieces(t or "")]
-                counts.append(sum([g[0] for g in got]))
-                ids.append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
-                texts.append(hashlib.sha256(" ".join([g[2] for g in got]).encode()).hexdigest())
+                n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                for some in digest.text(t or ""):
+                    one, two = "".join([g[1] for g in some]).encode(), "".join([g[2] for g in some]).encode()
+                    of_ids.update(one if n else one[1:])  # nothing stands before the first
+                    of_text.update(two if n else two[skip:])
+                    n += sum([g[0] for g in some])
+                counts.append(n)
+                ids.append(of_ids.hexdigest())
+                texts.append(of_text.hexdigest())
             yield as_batch(ROUND_TRIP, b.column(0), counts, ids, texts)
 
     return keyed(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
