@@ -32,6 +32,8 @@ CACHE = 200_000
 WINDOW = 512
 #: Words, or tokens of a long word, that are held at a time; characters from which a word is long and is not remembered.
 HELD, LONG = 4096, 64
+#: Characters whose words are found at a time.
+PART = 1 << 16
 NEVER = 1 << 60
 #: Unicode white space, as the public library's patterns take it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -237,6 +239,7 @@ class Tokenizer:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.normal, self.byte_level = spec["normalizer"] is not None, spec["decoder"] is not None
+        self.white = regex.compile(f"[{WHITE}]")
         self.latin, self.any = self._pattern(r"\p{L}", r"\p{N}"), None
         self.alphabet = byte_alphabet()
         self.known: dict[str, tuple[int, ...]] = {}
@@ -247,7 +250,7 @@ class Tokenizer:
         return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+", regex.V1)
 
     def words(self, text: str) -> Iterator[str]:
-        """Words of normalised text; all tables agree on the characters of Latin-1."""
+        """Words of normalised text, a part of it at a time; all tables agree on the characters of Latin-1."""
         try:
             text.encode("latin-1")
             pattern = self.latin
@@ -255,7 +258,11 @@ class Tokenizer:
             if self.any is None:
                 self.any = self._pattern(character_class("L", NEW_LETTERS), character_class("N", NEW_NUMBERS))
             pattern = self.any
-        return map(regex.Match.group, pattern.finditer(text))
+        at = 0
+        while self.normal and len(text) - at > PART and (cut := self.white.search(text, at + PART)):  # no word holds white space
+            yield from pattern.findall(text, at, cut.start())
+            at = cut.start()
+        yield from pattern.findall(text, at)
 
     def pieces(self, text: str) -> Iterator[str | int]:
         """Words in order, and the id of each added token found verbatim."""
