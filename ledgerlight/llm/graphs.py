@@ -1,38 +1,53 @@
-"""Connected components of links by alternating stars; only DataFrame joins and sums, no driver state."""
+"""Connected components of links by alternating stars; only DataFrame joins and sums, no driver state.
+
+The least neighbours are written before they are joined with the links: so a node with very
+many links is an ordinary large group of a join, which Spark splits, and small ones are
+broadcast by their measured size.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the least of its neighbourhood."""
+def _large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of every larger neighbour of a node to the least of its neighbourhood; and the table they read."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), least
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the least of them. Edges point from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+def _small(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of a node and its smaller neighbours to the least of them; and the table they read. Edges point from larger to smaller."""
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     rest = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return rest.union(least.select("a", F.col("m").alias("b"))).distinct(), least
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the least node that can be reached, for every node of ``links`` (two columns of longs).
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, component): the least node that can be reached, for every node of ``links`` (two columns of longs)."""
+    Rounds go on until one changes nothing; their number grows with the logarithm of the
+    longest chain. Tables of earlier rounds are deleted.
+    """
     a, b = links.columns
     edges = cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
-    mark = None
-    for _ in range(most_rounds):
-        edges = cut(_small(_large(edges)), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+    mark = _mark(edges)
+    while True:
+        large, one = _large(edges)
+        turned = cut(large, "links")
+        small, two = _small(turned)
+        after = cut(small, "links")
+        now = _mark(after)
+        release(edges, one, turned, two)
+        edges = after
+        if now == mark:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+        mark = now

@@ -1,10 +1,13 @@
 """MinHash near-duplicate search with a forest of sorted signature orders.
 
 Every distinct shingle set gets a signature; tree t of the forest orders the sets by its
-own eight signature values. Sets that share the first three values of a tree are a region.
-Neighbours in an order have the longest common prefixes: where a region is crowded, the
-depth adapts, so that rows are compared with those that share five or eight values, and
-in the end with a bounded part of them. The candidates are confirmed on full sets.
+own eight signature values, its label. Neighbours in an order have the longest common
+prefixes. Sets whose labels share the first three values are a region: that is the depth
+at which a pair of similarity 3/4 meets. A region with few sets is a block of its order and
+its sets are compared with each other. A crowded region adapts its depth place by place:
+its order is dealt out by ranges, so that no task holds it whole, and each set is compared
+with its neighbours in the order, whose common prefixes are as long as they come there.
+The candidates are confirmed on full sets.
 
 Crowded regions are then completed: what has not joined the region's largest component is
 compared with all of the region, in blocks, first with the likeliest partners and then
@@ -21,14 +24,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, cut, keyed, small_batches
+from .common import as_batch, cut, free_name, keyed, small_batches
 from .graphs import components
 from .shingles import WORDS, multipliers, shingle_sets, signature
 
 TREES, VALUES = 16, 8
 HASHES = TREES * VALUES
 #: A pair of similarity 3/4 shares the first 3 values in at least one of 16 trees but for 2 in 10,000 cases.
-DEPTHS = (3, 5, 8)
+DEPTH = 3
+#: Neighbours on each side in a crowded region's order.
+NEAR = 8
 #: Rows in a block at most, and rows up to which all pairs of a block are candidates at once.
 BLOCK, SMALL = 256, 32
 #: Partners that a row of a crowded block brings first.
@@ -68,7 +73,7 @@ def tree_keys(reps: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(b.num_rows, HASHES)
-            yield as_batch(schema, np.repeat(b.column(0).to_numpy(), TREES), np.tile(np.arange(TREES, dtype=np.int32), b.num_rows), prefix_keys(sig, DEPTHS[0]).ravel())
+            yield as_batch(schema, np.repeat(b.column(0).to_numpy(), TREES), np.tile(np.arange(TREES, dtype=np.int32), b.num_rows), prefix_keys(sig, DEPTH).ravel())
 
     schema = pa.schema([("rep", pa.int64()), ("tree", pa.int32()), ("key", pa.int64())])
     return reps.select("rep", "sig").mapInArrow(run, "rep long, tree int, key long")
@@ -84,19 +89,9 @@ def prefix_keys(sig: np.ndarray, depth: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def deeper_keys(rows: DataFrame) -> DataFrame:
-    """Rows of crowded regions with their tree's keys at the further depths."""
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u4").reshape(b.num_rows, HASHES)
-            at = np.arange(b.num_rows), b.column(2).to_numpy()
-            yield as_batch(schema, b.column(0), b.column(1), b.column(3), *(prefix_keys(sig, d)[at] for d in DEPTHS[1:]))
-
-    schema = pa.schema([("rep", pa.int64()), ("key", pa.int64()), ("sig", pa.binary()), ("key1", pa.int64()), ("key2", pa.int64())])
-    return rows.select("rep", "key", "tree", "sig").mapInArrow(run, "rep long, key long, sig binary, key1 long, key2 long")
+def label() -> Column:
+    """The values of a row's tree as bytes: rows with a common prefix of values stand together in the order of labels."""
+    return F.expr(f"substring(sig, tree * {4 * VALUES} + 1, {4 * VALUES})")
 
 
 PAIRS = pa.schema([("i", pa.int64()), ("j", pa.int64())])
@@ -130,35 +125,66 @@ def _emit(i: np.ndarray, j: np.ndarray):
 
 
 def block_pairs(blocks: DataFrame) -> DataFrame:
-    """Candidate pairs of (block, rep, sig): all likely ones of small blocks, the FIRST likeliest of each row in others."""
+    """Candidate pairs of regions (key, rep, tree, sig) of few rows: all likely ones of small regions, the FIRST likeliest of each row in others, the longer common prefix first."""
 
     def run(batches):
         for t in _blocks(batches, 0):
             n = t.num_rows
             if n < 2:
                 continue
-            ids, s = t.column(1).to_numpy(), short(t.column(2).to_pylist())
+            ids, raw = t.column(1).to_numpy(), t.column(2).to_pylist()
+            s, tree = short(raw), t.column(3)[0].as_py()
+            values = np.frombuffer(b"".join(raw), "<u4").reshape(n, HASHES)[:, tree * VALUES : (tree + 1) * VALUES]
             for lo in range(0, n, 64):
                 eq = (s[lo : lo + 64, None, :] == s[None]).sum(2, dtype=np.int16)
                 eq[ids[lo : lo + 64, None] == ids[None]] = 0
                 eq[eq < EQUAL] = 0
                 if n > SMALL:
-                    least = np.partition(eq, n - FIRST, axis=1)[:, n - FIRST, None]
-                    eq[eq < least] = 0
+                    prefix = (values[lo : lo + 64, None, :] == values[None]).cumprod(2).sum(2, dtype=np.int16)
+                    rank = np.where(eq > 0, prefix * 256 + eq, 0)
+                    eq[rank < np.partition(rank, n - FIRST, axis=1)[:, n - FIRST, None]] = 0
                 i, j = np.nonzero(eq)
                 if n <= SMALL:
                     i, j = i[j > i + lo], j[j > i + lo]
                 if len(i):
                     yield _emit(ids[lo + i], ids[j])
 
-    return blocks.select("block", "rep", "sig").repartition("block").sortWithinPartitions("block").mapInArrow(run, "i long, j long").distinct()
+    ordered = blocks.select("key", "rep", "sig", "tree", label().alias("label")).repartition("key").sortWithinPartitions("key", "label")
+    return ordered.mapInArrow(run, "i long, j long").distinct()
+
+
+def neighbour_pairs(crowded: DataFrame) -> DataFrame:
+    """Candidate pairs of crowded regions (key, rep, tree, sig): likely ones among the NEAR neighbours in the tree's order.
+
+    The order is dealt by ranges of (region, label), so that a region of any size is
+    spread over tasks; what a border separates is left to the completion.
+    """
+
+    def run(batches):
+        tail = None
+        for b in small_batches(batches, 4 << 20):
+            if not b.num_rows:
+                continue
+            both = pa.Table.from_batches([tail, b] if tail is not None else [b]).combine_chunks().to_batches()[0]
+            old = tail.num_rows if tail is not None else 0
+            key, ids, s = both.column(0).to_numpy(), both.column(1).to_numpy(), short(both.column(2).to_pylist())
+            for step in range(1, min(NEAR, len(ids) - 1) + 1):
+                at = np.arange(max(step, old), len(ids))
+                at = at[(key[at] == key[at - step]) & (ids[at] != ids[at - step])]
+                at = at[(s[at] == s[at - step]).sum(1, dtype=np.int16) >= EQUAL]
+                if len(at):
+                    yield _emit(ids[at], ids[at - step])
+            tail = both.slice(max(0, both.num_rows - NEAR))
+
+    ordered = crowded.select("key", "rep", "sig", label().alias("label")).repartitionByRange("key", "label", "rep").sortWithinPartitions("key", "label", "rep")
+    return ordered.mapInArrow(run, "i long, j long").distinct()
 
 
 def _met_before(sig: np.ndarray, q: int, base: np.ndarray, tree: int) -> np.ndarray:
     """Whether row ``q`` shares a region with each base row in an earlier tree too, where the pair is looked at."""
     if not tree:
         return np.zeros(len(base), bool)
-    first = sig[:, : tree * VALUES].reshape(len(sig), tree, VALUES)[:, :, : DEPTHS[0]]
+    first = sig[:, : tree * VALUES].reshape(len(sig), tree, VALUES)[:, :, :DEPTH]
     return (first[base] == first[q]).all(2).any(1)
 
 
@@ -239,12 +265,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
 
 
 def _by_size(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with ``n``: how many share the key; rows alone with theirs are gone."""
-    return rows.join(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), key)
-
-
-def _part(key: Column, parts: Column, at: Column) -> Column:
-    return F.xxhash64(key, parts, at)
+    """Rows with ``n``: how many share the key; rows alone with theirs are gone. The sizes are written, so that a large group of the join can be split."""
+    return rows.join(cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "sizes"), key)
 
 
 def _squares(region: DataFrame, every: bool) -> DataFrame:
@@ -276,17 +298,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     # one id may stand for several texts only if ids repeat; its sets are then told apart by no one, so the first is taken
     one = reps.groupBy("rep").agg(F.min_by("sig", "digest").alias("sig"), F.min("digest").alias("digest"))
 
-    shared = _by_size(tree_keys(one), "key")
+    shared = _by_size(cut(tree_keys(one), "keys"), "key")
     rows = cut(shared.join(one.select("rep", "sig"), "rep").select("rep", "tree", "key", "n", "sig"), "regions")
-    calm = rows.where(F.col("n") <= BLOCK).select(F.col("key").alias("block"), "rep", "sig")
-    crowded = cut(deeper_keys(rows.where(F.col("n") > BLOCK)), "crowded")
-    deep = _by_size(crowded.withColumnRenamed("key1", "at"), "at")
-    deepest = _by_size(deep.where(F.col("n") > BLOCK).drop("n").drop("at").withColumnRenamed("key2", "at"), "at")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = calm.unionByName(deep.where(F.col("n") <= BLOCK).select(F.col("at").alias("block"), "rep", "sig")).unionByName(
-        deepest.select(_part(F.col("at"), parts, F.pmod(F.xxhash64("rep"), parts)).alias("block"), "rep", "sig")
-    )
-    tried = cut(block_pairs(blocks), "pairs")
+    many = rows.where(F.col("n") > BLOCK)
+    pairs = block_pairs(rows.where(F.col("n") <= BLOCK))
+    tried = cut(pairs if many.isEmpty() else pairs.unionByName(neighbour_pairs(many)).distinct(), "pairs")
     links = cut(confirmed(texts, tried, words, percent), "links")
     found = cut(components(links), "components")
 
@@ -296,7 +312,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             placed = cut(large.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
             sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
             mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k"), (F.sum("c") - F.max("c")).alias("n_asks")).where("k > 1").drop("k")
-            region = placed.join(mixed, "key").withColumn("parts", parts).withColumn("asked", F.ceil(F.col("n_asks") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+            mixed = cut(mixed, "mixed")  # so that a large region of the join can be split
+            region = placed.join(mixed, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("asked", F.ceil(F.col("n_asks") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
             if most is None:
                 sets = set_table(texts, region.select("rep"), words).where(F.length("set") <= 8 * CARRIED).dropDuplicates(["rep"])
                 region = cut(region.join(sets, "rep", "left"), "rest")
@@ -322,8 +339,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of rows that repeat that id the one with the smallest text stays. Columns are untouched.
     """
-    kept = classes(docs, id_col, text_col, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
+    id_, n = free_name(docs, "_kept_id"), free_name(docs, "_kept_n")
+    kept = classes(docs, id_col, text_col, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_)).distinct()
     own = F.col(id_col).cast("long")
-    named = docs.where(own.isNotNull()).withColumn("_kept_id", own).join(kept, "_kept_id", "left_semi")
-    one = named.withColumn("_kept_n", F.row_number().over(Window.partitionBy("_kept_id").orderBy(F.col(text_col).asc_nulls_first())))
-    return one.where("_kept_n = 1").drop("_kept_n", "_kept_id").unionByName(docs.where(own.isNull()))
+    named = docs.where(own.isNotNull()).withColumn(id_, own).join(kept, id_, "left_semi")
+    one = named.withColumn(n, F.row_number().over(Window.partitionBy(id_).orderBy(F.col(text_col).asc_nulls_first())))
+    return one.where(F.col(n) == 1).select(*docs.columns).unionByName(docs.where(own.isNull()))
