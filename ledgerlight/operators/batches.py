@@ -1,40 +1,28 @@
-"""Request batches: questions that share their blocks, first fit, one document at a time."""
+"""Request batches: questions that share their blocks, in runs of bounded size."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def plan(units: DataFrame, sizes: DataFrame, budget: int, most: int, overlap: float = 1.0) -> DataFrame:
-    """(doc_id, batch, unit_ids, block_keys, state_tokens, question_tokens) of units (doc_id, unit_id, block_keys, question_tokens).
+def plan(units: DataFrame, sizes: DataFrame, budget: int, most: int) -> DataFrame:
+    """(doc_id, batch, unit_ids, block_keys, state_tokens, question_tokens, fits) of units (doc_id, unit_id, block_keys, question_tokens).
 
-    Units are taken by id. One joins the first batch that has room for another question, in
-    which blocks and longest question stay within ``budget``, and whose blocks have at least
-    ``overlap`` in common with it; else it opens one. ``sizes``: doc_id, block_key, tokens.
+    Questions of a document over the same set of blocks share batches of ``most``, in order
+    of their ids, so that blocks and longest question stay within ``budget``; those that do
+    not fit it alone make batches of their own. Batches are numbered by their first unit.
+    ``sizes``: doc_id, block_key, tokens; a block without a size counts as 0.
     """
-
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tokens, open_ = dict(zip(right["block_key"], right["tokens"])), []
-        size = lambda keys: sum(tokens.get(k, 0) for k in keys)
-        for u in left.sort_values("unit_id").itertuples():
-            own = frozenset(u.block_keys)
-            for b in open_:
-                union = b["blocks"] | own
-                alike = len(b["blocks"] & own) >= overlap * len(union) if union else True
-                if len(b["units"]) < most and alike and size(union) + max(b["question"], u.question_tokens) <= budget:
-                    break
-            else:
-                b = {"units": [], "blocks": frozenset(), "question": 0}
-                open_.append(b)
-            b["units"].append(u.unit_id)
-            b["blocks"], b["question"] = b["blocks"] | own, max(b["question"], u.question_tokens)
-        rows = [(key[0], n, b["units"], sorted(b["blocks"]), size(b["blocks"]), b["question"]) for n, b in enumerate(open_, 1)]
-        return pd.DataFrame(rows, columns=["doc_id", "batch", "unit_ids", "block_keys", "state_tokens", "question_tokens"])
-
-    out = "doc_id long, batch int, unit_ids array<string>, block_keys array<string>, state_tokens long, question_tokens long"
-    return units.groupBy("doc_id").cogroup(sizes.groupBy("doc_id")).applyInPandas(one, out)
+    keyed = units.withColumn("block_keys", F.array_sort(F.array_distinct("block_keys")))
+    sets = keyed.select("doc_id", "block_keys").distinct().select("doc_id", "block_keys", F.explode_outer("block_keys").alias("block_key"))
+    state = sets.join(sizes, ["doc_id", "block_key"], "left").groupBy("doc_id", "block_keys").agg(F.sum(F.coalesce("tokens", F.lit(0))).alias("state_tokens"))
+    each = keyed.join(state, ["doc_id", "block_keys"]).withColumn("fits", F.col("state_tokens") + F.col("question_tokens") <= budget)
+    same = ["doc_id", "block_keys", "state_tokens", "fits"]
+    run = F.floor((F.row_number().over(Window.partitionBy(*same).orderBy("unit_id")) - 1) / most)
+    made = each.withColumn("run", run).groupBy(*same, "run").agg(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"), F.max("question_tokens").alias("question_tokens"))  # ``most`` at most
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("unit_ids")[0]))
+    return made.select("doc_id", number.alias("batch"), "unit_ids", "block_keys", "state_tokens", "question_tokens", "fits")
 
 
 def summary(batches: DataFrame) -> DataFrame:

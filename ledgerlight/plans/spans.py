@@ -188,15 +188,24 @@ def f36_german_amounts(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", formatted(micro, 2, " EUR").alias("amount"))
 
 
-@query(None)
+D31 = """
+WITH u AS (SELECT conv_id AS doc_id, 'u' || lpad(turn::VARCHAR, 4, '0') AS unit_id, list_transform(range(turn // 3 * 3, turn // 3 * 3 + 3), lambda t: 't' || t) AS block_keys, length(text) % 50 + 5 AS q, turn // 3 AS g FROM conversations),
+s AS (SELECT conv_id AS doc_id, turn // 3 AS g, sum(ceil(length(text) / 3.5))::BIGINT AS state_tokens FROM conversations GROUP BY ALL),
+e AS (SELECT *, state_tokens + q <= 300 AS fits FROM u JOIN s USING (doc_id, g)), r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, g, fits ORDER BY unit_id) - 1) // 2 AS run FROM e),
+b AS (SELECT doc_id, g, run, fits, state_tokens, string_agg(unit_id, ',' ORDER BY unit_id) AS unit_ids, any_value(array_to_string(list_sort(block_keys), ',')) AS block_keys, max(q)::BIGINT AS question_tokens FROM r GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY unit_ids)::INT AS batch, unit_ids, block_keys, state_tokens, question_tokens, fits FROM b"""
+
+
+@query(D31)
 def d31_batch_plan(spark, sf_dir):
-    """Questions over the sections of conversations, batched where they share most of their blocks."""
+    """Questions over runs of three turns of conversations, two in a batch."""
     from ..functions.text import tokens_estimate
     from ..operators import batches
 
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "text")
-    keys = F.transform(F.sequence(F.greatest(F.col("turn") - 2, F.lit(0)), F.col("turn")), lambda t: F.concat(F.lit("t"), t.cast("string")))
+    first = (F.floor(F.col("turn") / 3) * 3).cast("int")
+    keys = F.transform(F.sequence(first, first + 2), lambda t: F.concat(F.lit("t"), t.cast("string")))
     units = c.select("doc_id", F.concat(F.lit("u"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("unit_id"), keys.alias("block_keys"), (F.length("text") % 50 + 5).cast("long").alias("question_tokens"))
     sizes = c.select("doc_id", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("block_key"), tokens_estimate(F.col("text")).alias("tokens"))
-    b = batches.plan(units, sizes, 2000, 24, 0.7)
-    return b.select("doc_id", "batch", F.array_join("unit_ids", ",").alias("unit_ids"), F.array_join("block_keys", ",").alias("block_keys"), "state_tokens", "question_tokens")
+    b = batches.plan(units, sizes, 300, 2)
+    return b.select("doc_id", "batch", F.array_join("unit_ids", ",").alias("unit_ids"), F.array_join("block_keys", ",").alias("block_keys"), "state_tokens", "question_tokens", "fits")

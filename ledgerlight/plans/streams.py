@@ -77,11 +77,23 @@ def t4_sliding_counts(spark, sf_dir):
     return feeds.window_counts(e, "ts", ["user_id"], "2 days", slide="1 day").where("n >= 6").select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
-@query(None)
+#: Microseconds in which a bucket refills one request and one token; requests and tokens that it holds.
+REQUEST_US, TOKEN_US, REQUESTS, TOKENS = 600_000_000, 2_000_000, 3, 900
+
+T5 = f"""
+WITH c AS (SELECT event_id, user_id, epoch_us(ts) AS t, {REQUEST_US}::BIGINT AS a, least(round(value)::BIGINT * {TOKEN_US}, {TOKENS * TOKEN_US}) AS b FROM events),
+s AS (SELECT *, sum(a) OVER w AS sa, sum(b) OVER w AS sb FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, min(sa - a - t) OVER w AS ma, min(sb - b - t) OVER w AS mb FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, greatest(0, sa - t - ma - {REQUESTS * REQUEST_US}, sb - t - mb - {TOKENS * TOKEN_US})::BIGINT AS wait_us FROM m"""
+
+
+@query(T5)
 def t5_token_bucket(spark, sf_dir):
-    """Waiting times of all calls of all users, one request for each ten minutes, three at once; the bucket is the stream's state."""
-    calls = _events(spark, sf_dir).withColumn("one", F.lit(1.0))
-    return _drained(spark, "t5", feeds.token_bucket(calls, "user_id", "ts", "one", 1 / 600, 3.0))
+    """Waiting times of all calls of all users behind two buckets: a request each ten minutes, three at once, and a token each two seconds."""
+    calls = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    tokens = F.round("value").cast("long") * TOKEN_US
+    waits = feeds.bucket_waits(calls, "user_id", "ts", "event_id", {"requests": (F.lit(REQUEST_US), REQUESTS * REQUEST_US), "tokens": (tokens, TOKENS * TOKEN_US)})
+    return waits.select("event_id", "wait_us")
 
 
 T6 = """
@@ -93,16 +105,8 @@ SELECT k, min(event_id) AS made_by, count(*) - 1 AS replayed FROM c GROUP BY k""
 def t6_exactly_once(spark, sf_dir):
     """Paid calls are made once for each key and replayed after that: batches append what their keys lack."""
     feed, place = _events(spark, sf_dir).select("event_id", F.round("value").cast("long").alias("k")), _place(spark, "t6")
-    schema = "k long, made_by long"
-
-    def each(batch, n):
-        first = batch.groupBy("k").agg(F.min("event_id").alias("made_by"))
-        if n:
-            first = first.join(spark.read.schema(schema).parquet(f"{place}/answers/*"), "k", "left_anti")
-        first.write.mode("overwrite").parquet(f"{place}/answers/batch={n}")  # a batch that is run again writes the same
-
-    feeds.drain_batches(feed, f"{place}/state", each, "append")
-    answers = spark.read.schema(schema).parquet(f"{place}/answers/*")
+    feeds.drain_batches(feed, f"{place}/state", feeds.answered_once(f"{place}/answers", "k", "event_id"), "append")
+    answers = feeds.answers(spark, f"{place}/answers", "k")
     calls = table(spark, sf_dir, "events").select(F.round("value").cast("long").alias("k")).groupBy("k").agg((F.count("*") - 1).alias("replayed"))
     return answers.join(calls, "k").select("k", "made_by", "replayed")
 

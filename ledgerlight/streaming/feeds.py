@@ -6,12 +6,10 @@ streaming result to the end of its input.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -57,30 +55,50 @@ def limited(events: DataFrame, at: str, keys: list[str], width: str, limit: int,
     return counts.select(*keys, "window_start", "n", (F.col("n") - limit).alias("refused"), end.alias("retry_at"), (end + F.expr(f"INTERVAL {width}")).alias("expires_at"))
 
 
-def token_bucket(calls: DataFrame, key: str, at: str, cost: str, rate: float, capacity: float) -> DataFrame:
-    """(key, at, cost, wait_s, left) of calls in order of time: each waits until the bucket, refilled at ``rate`` a second, holds its cost.
+def bucket_waits(calls: DataFrame, key: str, at: str, order: str, buckets: dict[str, tuple[Column, int]], block: str = "day") -> DataFrame:
+    """``calls`` with ``wait_us``: how long each waits, in order of time, until every bucket of its key holds its cost.
 
-    Costs above the capacity count as the capacity. State for each key: level and time.
+    A bucket is (cost, capacity), both as the microseconds in which it refills that much;
+    costs above the capacity count as the capacity. What a key owes after call i is the
+    largest, over j up to i, of the costs of calls j to i less the time from j to i: running
+    sums and least values, so windows suffice. They run within a key's time blocks, and over
+    the blocks' sums, so that no task holds all calls of a busy key.
     """
-    out = f"{key} long, at timestamp, cost double, wait_s double, left double"
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, clock = state.get if state.exists else (capacity, None)
-        rows = pd.concat(list(batches)).sort_values(["at", "cost"])
-        made = []
-        for t, c in zip(rows["at"], rows["cost"]):
-            now, need = t.timestamp(), min(float(c), capacity)
-            start = now if clock is None else max(now, clock)
-            if clock is not None:
-                level = min(capacity, level + (start - clock) * rate)
-            wait = max(0.0, (need - level) / rate)
-            level, clock = level + wait * rate - need, start + wait
-            made.append((k[0], t, float(c), clock - now, level))
-        state.update((level, clock))
-        yield pd.DataFrame(made, columns=[key, "at", "cost", "wait_s", "left"])
-
-    named = calls.select(F.col(key).cast("long").alias(key), F.col(at).cast("timestamp").alias("at"), F.col(cost).cast("double").alias("cost"))
-    return named.groupBy(key).applyInPandasWithState(run, out, "level double, clock double", "append", GroupStateTimeout.NoTimeout)
+    own = Window.partitionBy(key, "_block").orderBy("_t", order)
+    upto, before = own.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    got = calls.withColumn("_t", F.unix_micros(F.col(at))).withColumn("_block", F.date_trunc(block, F.col(at)))
+    for name, (cost, most) in buckets.items():
+        got = got.withColumn(f"_c_{name}", F.least(cost, F.lit(most)).cast("long"))
+        got = got.withColumn(f"_s_{name}", F.sum(f"_c_{name}").over(upto)).withColumn(f"_m_{name}", F.min(F.col(f"_s_{name}") - F.col(f"_c_{name}") - F.col("_t")).over(upto))
+    sums = got.groupBy(key, "_block").agg(*(f for n in buckets for f in (F.sum(f"_c_{n}").alias(f"_sum_{n}"), F.min(f"_m_{n}").alias(f"_min_{n}"))))
+    for n in buckets:
+        sums = sums.withColumn(f"_p_{n}", F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)))
+    for n in buckets:
+        sums = sums.withColumn(f"_l_{n}", F.min(F.col(f"_p_{n}") + F.col(f"_min_{n}")).over(before))
+    both = got.join(sums.select(key, "_block", *(f"_{x}_{n}" for n in buckets for x in "pl")), [key, "_block"])
+    owed = lambda n: F.col(f"_p_{n}") + F.col(f"_s_{n}") - F.col("_t") - F.least(F.col(f"_l_{n}"), F.col(f"_p_{n}") + F.col(f"_m_{n}"))
+    return both.select(*calls.columns, F.greatest(F.lit(0), *(owed(n) - most for n, (_, most) in buckets.items())).alias("wait_us"))
+
+
+def answered_once(place: str, key: str, made_by: str) -> Callable[[DataFrame, int], None]:
+    """What a batch does so that each key is answered once: it appends the keys that no earlier batch has.
+
+    Batch n reads the answers of batches below n only and overwrites its own, so one that is
+    run again, after a failure at whatever point, writes the same.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        first = batch.groupBy(key).agg(F.min(made_by).alias("made_by"))
+        if n:
+            first = first.join(answers(batch.sparkSession, place, key).where(F.col("batch") < n), key, "left_anti")
+        first.write.mode("overwrite").parquet(f"{place}/batch={n}")
+
+    return each
+
+
+def answers(spark: SparkSession, place: str, key: str) -> DataFrame:
+    """All stored answers: key, made_by, batch."""
+    return spark.read.schema(f"{key} long, made_by long, batch int").parquet(place)
 
 
 def once_only(calls: DataFrame, answered: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

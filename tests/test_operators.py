@@ -1,10 +1,7 @@
-import random
-from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import batches, checklist, grid, grounding, readmodels, retrieval, sheets
-from ledgerlight.streaming import feeds
 
 
 def test_greedy_budget_skips(spark):
@@ -82,23 +79,3 @@ def test_upsert_and_as_of(spark):
     b = spark.createDataFrame([(2, None), (3, "c")], "k long, v string")
     assert sorted(map(tuple, readmodels.upsert(t, b, ["k"]).collect())) == [(1, "a"), (2, None), (3, "c")]
     assert readmodels.append_new(t, b, ["k"]).count() == 3
-
-
-def test_token_bucket_matches_plain_replay(spark, tmp_path):
-    rnd = random.Random(2)
-    rows = [(k % 3, datetime(2024, 1, 1) + timedelta(seconds=rnd.randint(0, 60)), float(rnd.choice([1, 2, 9]))) for k in range(60)]
-    df = spark.createDataFrame(rows, "who long, at timestamp, cost double")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = feeds.log_stream(spark, str(tmp_path / "in"), df.schema)
-    got = feeds.drain(feeds.token_bucket(stream, "who", "at", "cost", 0.5, 4.0), str(tmp_path / "out"), str(tmp_path / "state"))
-    want = []
-    for who in range(3):
-        level, clock = 4.0, None
-        for _, at, cost in sorted(r for r in rows if r[0] == who):
-            now = at.replace(tzinfo=UTC).timestamp()
-            start = now if clock is None else max(now, clock)
-            level = min(4.0, level + (start - (clock if clock is not None else start)) * 0.5)
-            wait = max(0.0, (min(cost, 4.0) - level) / 0.5)
-            level, clock = level + wait * 0.5 - min(cost, 4.0), start + wait
-            want.append((who, cost, round(clock - now, 6)))
-    assert sorted((r.who, r.cost, round(r.wait_s, 6)) for r in got.collect()) == sorted(want)
