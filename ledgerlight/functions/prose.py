@@ -106,3 +106,17 @@ def template(text: str) -> str:
     plain = " ".join(text.split())
     kept = {(s, e) for s, e, _, _ in sp.years(plain)}
     return regex.sub(r"\d+(?:[.,]\d+)*", lambda m: m[0] if m.span() in kept else "#", plain)
+
+
+def counted(blocks):
+    """(doc_id, n_sentences, n_clauses) of blocks (doc_id, text)."""
+    import pyarrow as pa
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_clauses", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            parts = [[clauses(t, *s) for s in sentences(t)] for t in (x or "" for x in b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array([sum(map(len, p)) for p in parts], pa.int64())], schema=schema)
+
+    return blocks.selectExpr("cast(doc_id as long) AS doc_id", "text").mapInArrow(run, "doc_id long, n_sentences long, n_clauses long")

@@ -100,3 +100,26 @@ def safe_cell(c: Column) -> Column:
 def cited_numbers(c: Column) -> Column:
     """Numbers in square brackets, in order."""
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("\\[(\\d+)\\]"), F.lit(1)), lambda x: x.try_cast("int"))
+
+
+def digits(c: Column) -> Column:
+    """The digits of a text alone."""
+    return F.regexp_replace(c, "\\D", "")
+
+
+def slug(c: Column) -> Column:
+    """Lower-case letters and digits of a text for a file name, one dash between, accents dropped."""
+    plain = F.regexp_replace(F.translate(c, "ÄÖÜäöüÀÁÂÈÉÊÌÍÎÒÓÔÙÚÛàáâèéêìíîòóôùúûÇçÑñ", "AOUaouAAAEEEIIIOOOUUUaaaeeeiiiooouuuCcNn"), "[^a-zA-Z0-9]+", "-")
+    return F.lower(F.regexp_replace(plain, "^-|-$", ""))
+
+
+def cutoff_date(c: Column, report_year: Column) -> Column:
+    """ISO date of the first cut-off date that a text states, unless it is the end of the reported year or of the one before."""
+    shape = "(?iu)(?:per|zum|am|Stand)\\s+(\\d{1,2})\\.\\s?(Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|\\d{1,2}\\.)\\s?(\\d{4})"
+    part = lambda k: F.regexp_extract(c, shape, k)
+    name = F.lower(F.regexp_replace(part(2), "\\.", ""))
+    names = {n: m for m, ns in enumerate(("januar jänner", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"), 1) for n in ns.split()}
+    month = F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[name], name.try_cast("int"))
+    day, year = part(1).try_cast("int"), part(3).try_cast("int")
+    own = (day == 31) & (month == 12) & year.isin(report_year, report_year - 1)
+    return F.when(part(1) != "", F.when(~F.coalesce(own, F.lit(False)), F.format_string("%d-%02d-%02d", year, month, day)))

@@ -153,6 +153,16 @@ def table_sums(cells: DataFrame, total: str = r"(?i)^(?:summe|gesamt|total|insge
     )
 
 
+def composed(families: list[DataFrame], subject: list[str]) -> DataFrame:
+    """Checks of all families (``subject``, check, status, ...) with ``seq``, the family's place; of one subject and check the first family's."""
+    parts = [f.withColumn("seq", F.lit(n)) for n, f in enumerate(families, 1)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    first = Window.partitionBy(*subject, "check").orderBy("seq")
+    return every.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
 def findings(checks: DataFrame) -> DataFrame:
     """One numbered finding for each place whose worst check is no match; of equally bad checks the first in ``seq``."""
     rank = F.when(F.col("status") == "mismatch", 2).when(F.col("status") == "uncertain", 1).otherwise(0)
