@@ -19,8 +19,16 @@ def paths(items: DataFrame, most: int) -> DataFrame:
 
 
 def preorder(items: DataFrame, most: int) -> DataFrame:
-    """Items that can be reached, parents before their children, siblings by ``sort``."""
-    return paths(items, most).where(F.col("depth").isNotNull()).withColumn("position", F.row_number().over(Window.orderBy("path", "k")).cast("long"))
+    """Items that can be reached, parents before their children, siblings by ``sort``, with ``position`` from 1.
+
+    Positions count within each root's tree, from where the trees before it end; only one
+    row for each value of a root's ``sort`` meets in one task.
+    """
+    placed = paths(items, most).where(F.col("depth").isNotNull()).withColumn("_root", F.col("path")[0])
+    sizes = placed.groupBy("_root").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_root").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inner = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_root").orderBy("path", "k")))
+    return inner.join(before, "_root").withColumn("position", (F.col("_before") + F.col("_at")).cast("long")).drop("_root", "_before", "_at")
 
 
 def issues(items: DataFrame, most: int = 3, longest: int = 2000) -> DataFrame:

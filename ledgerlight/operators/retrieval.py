@@ -38,37 +38,44 @@ def phrases(requirements: DataFrame) -> DataFrame:
     return kept.groupBy("req_id").agg(F.collect_list("p").alias("phrases"))
 
 
-def block_terms(blocks: DataFrame) -> DataFrame:
-    """One row for each block, dealt by document, with tokens, term counts and the document's statistics.
+def lengths(blocks: DataFrame) -> DataFrame:
+    """(doc_id, ordinal, n_tokens) of all blocks."""
+    return blocks.select("doc_id", "ordinal", F.size(lexical_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+def wanted_terms(blocks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, ordinal, n_tokens, term, tf, df, n_blocks, mean) of the blocks' terms that a requirement has.
 
     ``blocks``: doc_id, ordinal, text, heading (may be null). A heading counts twice for
-    term frequency, not for length.
+    term frequency, not for length. Terms that no requirement has are gone before anything
+    is shuffled; a row without a term for each block carries its length to the document's
+    statistics.
     """
     by_doc = Window.partitionBy("doc_id")
-    dealt = blocks.select("doc_id", "ordinal", "text", F.coalesce("heading", F.lit("")).alias("heading")).repartition("doc_id")
-    body, head = lexical_tokens(F.col("text")), lexical_tokens(F.col("heading"))
-    each = dealt.withColumn("body", body).withColumn("n_tokens", F.size("body").cast("long"))
-    each = each.withColumn("terms", F.concat("body", head, head)).drop("body")
-    return each.withColumn("n_blocks", F.count("*").over(by_doc)).withColumn("mean", F.avg("n_tokens").over(by_doc))
+    body, head = lexical_tokens(F.col("text")), lexical_tokens(F.coalesce("heading", F.lit("")))
+    each = blocks.select("doc_id", "ordinal", F.struct(body.alias("body"), head.alias("head")).alias("t"))
+    every = F.concat(F.array(F.lit(None).cast("string")), F.col("t.body"), F.col("t.head"), F.col("t.head"))
+    rows = each.select("doc_id", "ordinal", F.size("t.body").cast("long").alias("n_tokens"), F.explode(every).alias("term"))
+    known = terms.select("term").distinct().withColumn("known", F.lit(True))
+    kept = rows.join(known, "term", "left").where("term IS NULL OR known").drop("known").repartition("doc_id")
+    counts = kept.groupBy("doc_id", "ordinal", "n_tokens", "term").agg(F.count("*").alias("tf"))
+    length = F.when(F.col("term").isNull(), F.col("n_tokens"))
+    with_doc = counts.withColumn("n_blocks", F.count(length).over(by_doc)).withColumn("mean", F.avg(length).over(by_doc)).where("term IS NOT NULL")
+    return with_doc.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "term")))
 
 
 def scored(blocks: DataFrame, requirements: DataFrame, minimum: float) -> DataFrame:
     """(doc_id, req_id, ordinal, score, matched, n_tokens) of blocks that share a term with a requirement and reach ``minimum``."""
-    each = block_terms(blocks)
     terms = query_terms(requirements)
-    counts = (
-        each.select("doc_id", "ordinal", "n_tokens", "n_blocks", "mean", F.explode("terms").alias("term"))
-        .groupBy("doc_id", "ordinal", "n_tokens", "n_blocks", "mean", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    wanted = counts.join(terms.select("term").distinct(), "term", "left_semi")
-    with_df = wanted.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "term")))
-    hits = with_df.join(terms, "term")
+    hits = wanted_terms(blocks, terms).join(terms, "term")
     s = term_score(F.col("weight"), F.col("tf"), F.col("df"), F.col("n_blocks"), F.col("n_tokens"), F.col("mean"))
     bm25 = hits.groupBy("doc_id", "req_id", "ordinal", "n_tokens").agg(F.sum(s).alias("score"), F.array_sort(F.collect_list("term")).alias("matched"))
-    texts = each.select("doc_id", "ordinal", phrase(F.concat_ws(" ", "heading", "text")).alias("plain"))
-    bonus = F.size(F.filter(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: F.contains(F.col("plain"), p))) * PHRASE_BONUS
-    found = bm25.join(phrases(requirements), "req_id", "left").join(texts, ["doc_id", "ordinal"])
+    # whole texts are fetched for blocks that can still reach the least score
+    bare = F.array().cast("array<string>")
+    with_phrases = bm25.join(phrases(requirements), "req_id", "left").withColumn("phrases", F.coalesce("phrases", bare)).where(F.round(F.col("score") + F.size("phrases") * PHRASE_BONUS, DIGITS) >= minimum)
+    texts = blocks.select("doc_id", "ordinal", phrase(F.concat_ws(" ", F.coalesce("heading", F.lit("")), "text")).alias("plain"))
+    found = with_phrases.join(texts, ["doc_id", "ordinal"])
+    bonus = F.size(F.filter("phrases", lambda p: F.contains(F.col("plain"), p))) * PHRASE_BONUS
     return found.select("doc_id", "req_id", "ordinal", F.round(F.col("score") + bonus, DIGITS).alias("score"), "matched", "n_tokens").where(F.col("score") >= minimum)
 
 
@@ -96,7 +103,7 @@ def packets(blocks: DataFrame, requirements: DataFrame, max_matches: int = 8, ma
         F.explode(F.array(*(F.struct(F.lit(o).alias("side"), (F.col("ordinal") + o).alias("ordinal"), (F.col("score") * (1.0 if o == 0 else CONTEXT_SHARE)).alias("score")) for o in (0, -1, 1)))).alias("x"),
         F.col("matched"),
     ).select("doc_id", "req_id", "place", "x.*", F.when(F.col("x.side") == 0, F.col("matched")).otherwise(F.array().cast("array<string>")).alias("matched"))
-    known = block_terms(blocks).select("doc_id", "ordinal", "n_tokens")
+    known = lengths(blocks)
     first = Window.partitionBy("doc_id", "req_id", "ordinal").orderBy(F.col("side") != 0, "place", "side")
     selected = around.join(known, ["doc_id", "ordinal"]).withColumn("n", F.row_number().over(first)).where("n = 1")
     role = F.when(F.col("side") == 0, "match").when(F.col("side") < 0, "context_before").otherwise("context_after")

@@ -174,6 +174,19 @@ def j20_unique_label_join(spark, sf_dir):
     return p.where("p_type <> 'ECONOMY'").join(agreed, "p_name").select("p_partkey", "p_name", "prior_size")
 
 
+J20_BRANDS = """
+WITH p AS (SELECT p_name, p_brand, min(p_size) AS size FROM part WHERE p_type = 'ECONOMY' GROUP BY ALL HAVING min(p_size) = max(p_size))
+SELECT p_partkey, part.p_name, p_brand, size AS prior_size FROM part JOIN p USING (p_name, p_brand) WHERE p_type <> 'ECONOMY'"""
+
+
+@query(J20_BRANDS)
+def j20_unique_labels_of_brands(spark, sf_dir):
+    """As ``j20_unique_label_join`` by name and brand, where many labels stand once."""
+    p = table(spark, sf_dir, "part")
+    agreed = p.where("p_type = 'ECONOMY'").groupBy("p_name", "p_brand").agg(F.min("p_size").alias("prior_size"), F.max("p_size").alias("hi")).where("prior_size = hi").drop("hi")
+    return p.where("p_type <> 'ECONOMY'").join(agreed, ["p_name", "p_brand"]).select("p_partkey", "p_name", "p_brand", "prior_size")
+
+
 #: Rules for labels, first match wins.
 LABEL_RULES = (("steel", "steel|metal"), ("small", "^small"), ("ring", "ring$"), ("rest", "."))
 
