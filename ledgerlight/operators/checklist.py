@@ -55,6 +55,25 @@ def issues(items: DataFrame, most: int = 3, longest: int = 2000) -> DataFrame:
     return all_.select("k", F.explode(F.array_distinct(found)).alias("issue")).distinct()
 
 
+#: Limits of a checklist's fields. Fixed values.
+KEY, ITEMS, REFERENCE, TITLE, REQUIREMENT, ASPECT, ASPECTS = "(?u)^[\\p{L}\\p{N}][\\p{L}\\p{N}._\\-/ ]{0,79}$", 500, 200, 300, 6_000, 500, 20
+
+
+def field_issues(items: DataFrame) -> DataFrame:
+    """(key, issue) of items (key, reference, title, requirement, aspects, order) one by one, and of the whole list with a null key: none or too many items."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    longer = lambda c, most: F.coalesce(F.length(c) > most, F.lit(False))
+    too_long = longer("reference", REFERENCE) | longer("title", TITLE) | longer("requirement", REQUIREMENT) | F.coalesce((F.size("aspects") > ASPECTS) | F.exists("aspects", lambda a: F.length(a) > ASPECT), F.lit(False))
+    found = (
+        ("invalid_key", ~F.coalesce(F.col("key").rlike(KEY), F.lit(False))), ("empty_reference", empty("reference")), ("empty_title", empty("title")), ("empty_requirement", empty("requirement")),
+        ("text_too_long", too_long), ("invalid_order", F.col("order").isNull()),
+    )
+    each = items.select("key", F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in found)))).alias("issue"))
+    n = items.agg(F.count("*").alias("n"))
+    whole = n.select(F.lit(None).cast("string").alias("key"), F.when(F.col("n") == 0, "no_items").when(F.col("n") > ITEMS, "too_many_items").alias("issue")).where("issue IS NOT NULL")
+    return each.unionByName(whole)
+
+
 def _cycles(items: DataFrame, most: int) -> DataFrame:
     """(k, cycle): whether an item is its own ancestor, by doubling the ancestor step."""
     step = items.where(F.col("parent").isNotNull()).select("k", F.col("parent").alias("up")).distinct()

@@ -17,6 +17,20 @@ from ..functions.exact import compared, ratio_percent, whole
 from ..functions.lineitems import item_of_label, kind_of_item
 
 PLACE = ("doc_id", "table_no", "row_no", "column_no")
+#: Words of a column that counts or measures something else than money. Fixed values.
+NO_MONEY = "Nutzungsdauer|in Jahren|\\bJahre\\b|Anzahl|Stück|Mitarbeiter|Personen|Laufzeit in"
+#: Checks that are not told while they are uncertain. Fixed values.
+SILENT_KINDS, SILENT_CODES = ("table_sum", "horizontal_sum"), ("direction_unclear",)
+
+
+def amount_column(percent: Column, label: Column) -> Column:
+    """Whether a column holds amounts of money."""
+    return ~F.coalesce(percent, F.lit(False)) & ~F.coalesce(label.rlike(f"(?iu){NO_MONEY}"), F.lit(False))
+
+
+def silent(status: Column, check: Column, code: Column) -> Column:
+    """Whether a check makes no finding: an uncertain sum, whose parts are not sure, or an unclear direction."""
+    return (status == "uncertain") & (check.isin(*SILENT_KINDS) | F.coalesce(code.isin(*SILENT_CODES), F.lit(False)))
 
 
 def judged(rows: DataFrame, check: str, actual: Column, unit: Column, expected: Column, expected_unit: Column, terms: Column | int = 1, certain: Column | None = None) -> DataFrame:
