@@ -11,10 +11,12 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+#: Queries that give no rows on the smallest tables; others of the same operators do.
+NO_ROWS = ("d8_statements", "j20_unique_label_join")
+
+
 @pytest.mark.parametrize("name", registry.QUERIES)
 def test_query(spark, name):
     df = registry.QUERIES[name](spark, SF)
-    if name in registry.ORACLES:
-        compare(df, registry.ORACLES[name], SF)
-    else:
-        assert df.count() >= 0
+    n = compare(df, registry.ORACLES[name], SF) if name in registry.ORACLES else df.count()
+    assert (n > 0) == (name not in NO_ROWS)
