@@ -20,7 +20,8 @@ def _large(edges: DataFrame, held: list | None) -> DataFrame:
     """Links of every larger neighbour of a node to the least of its neighbourhood. ``held`` takes tables written in between."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     least = _kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), held)
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    turned = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return turned if held is None else turned.distinct()  # the other half of the round drops repeated links itself
 
 
 def _small(edges: DataFrame, held: list | None) -> DataFrame:

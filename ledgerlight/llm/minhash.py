@@ -49,6 +49,12 @@ EQUAL = 77
 #: Ids up to which a semi-join broadcasts them (16 bytes each); beyond, it shuffles.
 BROADCAST_IDS = 200_000
 
+
+
+def digest_of(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
 
@@ -59,8 +65,7 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
         mul = multipliers(HASHES)
         for b in small_batches(batches, 1 << 20):
             sets = shingle_sets([t or b"" for t in pc.cast(b.column(1), pa.binary()).to_pylist()], words)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield as_batch(SIGNED, b.column(0), [len(s) for s in sets], digests, [signature(s, mul).astype("<u4").tobytes() if len(s) else None for s in sets])
+            yield as_batch(SIGNED, b.column(0), [len(s) for s in sets], list(map(digest_of, sets)), [signature(s, mul).astype("<u4").tobytes() if len(s) else None for s in sets])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
@@ -237,21 +242,24 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
-def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, set) of the documents in ``ids``: sorted 64-bit shingle hashes."""
+def set_table(docs: DataFrame, nodes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(rep, set) of the nodes in ``ids`` (one column): sorted 64-bit shingle hashes, from a document that holds the node's set."""
     schema = pa.schema([("rep", pa.int64()), ("set", pa.binary())])
 
     def run(batches):
         for b in small_batches(batches, 1 << 20):
-            sets = shingle_sets([t or b"" for t in pc.cast(b.column(1), pa.binary()).to_pylist()], words)
-            yield as_batch(schema, b.column(0), [s.astype("<u8").tobytes() for s in sets])
+            sets = shingle_sets([t or b"" for t in pc.cast(b.column(2), pa.binary()).to_pylist()], words)
+            own = [digest_of(s) == d for s, d in zip(sets, b.column(1).to_pylist())]  # an id may stand for several texts
+            yield as_batch(schema, b.column(0).filter(pa.array(own)), [s.astype("<u8").tobytes() for s, o in zip(sets, own) if o])
 
-    ids = ids.distinct()
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"], "left_semi").mapInArrow(run, "rep long, set binary")
+    asked = ids.toDF("rep").distinct()
+    few = asked.count() <= BROADCAST_IDS
+    wanted = nodes.select("rep", "doc", "digest").join(F.broadcast(asked) if few else asked, "rep", "left_semi")
+    both = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"] == wanted["doc"]).select("rep", "digest", "text")
+    return both.mapInArrow(run, "rep long, set binary").dropDuplicates(["rep"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that are links by their full sets."""
 
     def run(batches):
@@ -259,11 +267,28 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
             keep = [similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], schema=PAIRS)
 
-    sets = cut(set_table(docs, pairs.select(F.explode(F.array("i", "j")).alias("rep")), words).dropDuplicates(["rep"]), "sets")
+    sets = cut(set_table(docs, nodes, pairs.select(F.explode(F.array("i", "j"))), words), "sets")
     joined = pairs.join(sets.toDF("i", "x"), "i").join(sets.toDF("j", "y"), "j").select("i", "j", "x", "y")
     return joined.mapInArrow(run, "i long, j long")
 
 
+def _nodes(linked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rep, doc, digest, sig) of every different set: its name, the least document that holds it; and links between sets of one id.
+
+    A set is named after its least document. Where ids stand for several texts, and so one
+    document would name several sets, all but one of these get a digest as their name, and
+    the sets of one id are linked, since they are one document's.
+    """
+    sets = cut(linked.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig")), "sets")
+    if linked.select("doc_id", "digest").distinct().groupBy("doc_id").count().where("count > 1").isEmpty():
+        return sets.select(F.col("doc").alias("rep"), "doc", "digest", "sig"), None
+    first = F.row_number().over(Window.partitionBy("doc").orderBy("digest")) == 1
+    nodes = cut(sets.select(F.when(first, F.col("doc")).otherwise(F.xxhash64("digest")).alias("rep"), "doc", "digest", "sig"), "nodes")
+    held = linked.select("doc_id", "digest").distinct().join(nodes.select("digest", "rep"), "digest")
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("j"))
+    return nodes, cut(held.join(least, "doc_id").where("rep <> j").select(F.col("rep").alias("i"), "j").distinct(), "links")
+
+
 def _by_size(rows: DataFrame, key: str) -> DataFrame:
     """Rows with ``n``: how many share the key; rows alone with theirs are gone. The sizes are written, so that a large group of the join can be split."""
     return rows.join(cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "sizes"), key)
@@ -287,24 +312,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """doc_id, n_shingles, component_id, kept for every row.
 
     A text without words (null, empty) has no shingles and is linked with nothing. A row
-    without an id is linked with nothing and kept, its component null. Repeated rows belong
-    to one component, and each row with the component's id is kept. Other columns are
-    ignored; an empty table gives no rows.
+    without an id is linked with nothing and kept, its component null. Rows of one id are
+    one document and belong to one component, whatever their texts; each row with the
+    component's id is kept. Other columns are ignored; an empty table gives no rows.
     """
     texts = keyed(docs, id_col, text_col)
     base = cut(signed(texts, words), "signatures")
     linked = base.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    reps = cut(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "sets")
-    # one id may stand for several texts only if ids repeat; its sets are then told apart by no one, so the first is taken
-    one = reps.groupBy("rep").agg(F.min_by("sig", "digest").alias("sig"), F.min("digest").alias("digest"))
+    one, same_id = _nodes(linked)
 
     shared = _by_size(cut(tree_keys(one), "keys"), "key")
     rows = cut(shared.join(one.select("rep", "sig"), "rep").select("rep", "tree", "key", "n", "sig"), "regions")
     many = rows.where(F.col("n") > BLOCK)
     pairs = block_pairs(rows.where(F.col("n") <= BLOCK))
     tried = cut(pairs if many.isEmpty() else pairs.unionByName(neighbour_pairs(many)).distinct(), "pairs")
-    links = cut(confirmed(texts, tried, words, percent), "links")
-    found = cut(components(links), "components")
+    links = cut(confirmed(texts, one, tried, words, percent), "links")
+    found = cut(components(links if same_id is None else links.unionByName(same_id)), "components")
 
     large = rows.where(F.col("n") > SMALL)
     if not large.isEmpty():
@@ -315,7 +338,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             mixed = cut(mixed, "mixed")  # so that a large region of the join can be split
             region = placed.join(mixed, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("asked", F.ceil(F.col("n_asks") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
             if most is None:
-                sets = set_table(texts, region.select("rep"), words).where(F.length("set") <= 8 * CARRIED).dropDuplicates(["rep"])
+                sets = set_table(texts, one, region.select("rep"), words).where(F.length("set") <= 8 * CARRIED)
                 region = cut(region.join(sets, "rep", "left"), "rest")
             else:
                 region = region.withColumn("set", F.lit(None).cast("binary"))
@@ -323,12 +346,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             new = cut(rest.where("not sure").select("i", "j").join(tried, ["i", "j"], "left_anti"), "pairs")
             more = rest.where("sure").select("i", "j")
             if not new.isEmpty():
-                more = more.unionByName(cut(confirmed(texts, new, words, percent), "links"))
+                more = more.unionByName(cut(confirmed(texts, one, new, words, percent), "links"))
             tried = tried.unionByName(new)
             if not more.isEmpty():
                 found = cut(components(found.toDF("i", "j").unionByName(more)), "components")
 
-    of_set = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    of_set = one.select("digest", "rep", "doc").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "doc", F.coalesce("component", "rep").alias("component"))
+    if same_id is not None:  # a component's name may be a digest: its least document is sought
+        of_set = of_set.join(of_set.groupBy("component").agg(F.min("doc").alias("least")), "component").select("digest", F.col("least").alias("component"))
     in_set = linked.select("doc_id", "n_shingles", "digest").join(of_set, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = base.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return in_set.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

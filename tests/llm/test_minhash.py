@@ -74,3 +74,16 @@ def test_odd_rows(spark):
     got = sorted(map(str, (tuple(r) for r in minhash.classes(df).collect())))
     assert got == sorted(map(str, [(3, 6, 3, True), (3, 6, 3, True), (4, 6, 3, False), (2, 0, 2, True), (5, 0, 5, True), (None, 6, None, True)]))
     assert minhash.classes(df.limit(0)).count() == 0
+
+
+def test_ids_that_stand_for_several_texts(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    a, b, c, d = ([word() for _ in range(60)] for _ in range(4))
+    near = lambda w: " ".join([*w[:-1], word()])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a)), (4, " ".join(c)), (5, near(c)), (5, " ".join(d)), (9, near(d)), (8, " ".join(b)), (7, " ".join([word() for _ in range(60)]))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (8, 1, False), (4, 4, True), (5, 4, False), (9, 4, False), (7, 7, True)}
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _kept_id int, _kept_n int")
+    kept = minhash.deduplicated(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 7]
