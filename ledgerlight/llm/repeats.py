@@ -32,6 +32,8 @@ COLLAPSE = 32 << 20
 SHARD, MOST = 1 << 18, 1_000
 #: Counters of the search for crowded anchors: every anchor with more than one of HOT anchors is found.
 COUNTERS, HOT = 4096, 2000
+#: Rows of an anchor that a large batch need not count: far fewer than a crowded anchor has there.
+FEW = 8
 #: Ids below this are taken by rows without one.
 NO_ID = -(1 << 63)
 #: Second base of the digests, odd.
@@ -67,8 +69,8 @@ def second_powers(n: int) -> list[np.ndarray]:
     return [p[:n] for p in _seconds]
 
 
-def anchors(texts: list[bytes], length: int, gram: int):
-    """(text, offset, hash of the gram, two digests of the surroundings) of all anchors of texts of ``length`` bytes or more."""
+def anchors(texts: list[bytes], length: int, gram: int, both: bool = True):
+    """(text, offset, hash of the gram, two digests of the surroundings) of all anchors of texts of ``length`` bytes or more; without ``both`` the second digest is 0."""
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -91,36 +93,61 @@ def anchors(texts: list[bytes], length: int, gram: int):
     lo = np.maximum(chosen + gram - length, ends[text] - lengths[text])
     hi = np.minimum(chosen + length, ends[text])
     shape = (hi - lo).astype(U) * U(0x632BE59BD9B4E019) + (chosen - lo).astype(U)
-    up2, down2 = second_powers(n + 1)
-    total2 = _sums(raw, up2)
-    one, two = (mixed((t[hi] - t[lo]) * d[lo] + shape).view(np.int64) for t, d in ((total, down), (total2, down2)))
+    digest = lambda total, down: mixed((total[hi] - total[lo]) * down[lo] + shape).view(np.int64)
+    one, two = digest(total, down), np.zeros(len(chosen), np.int64)
+    if both:
+        up, down = second_powers(n + 1)
+        two = digest(_sums(raw, up), down)
     return text, chosen - (ends[text] - lengths[text]), h[chosen].view(np.int64), one, two
 
 
 def _batches_of_anchors(batches, length: int, gram: int):
-    """Columns (anchor, digest, second digest, id, tie, at) of about COLLAPSE bytes of texts (id, tie, text) at a time, in that order, with the first row of each digest."""
+    """Columns (anchor, digest, second digest, id, tie, at) of about COLLAPSE bytes of texts (id, tie, text) at a time, equal surroundings together, and which rows are the first of theirs.
 
-    def ordered(parts):
+    Texts are taken in order of their keys, so that a stable sort by one mixed key leaves
+    the earliest of equal surroundings first.
+    """
+
+    def ordered(held):
+        held.sort(key=lambda r: r[:2])
+        parts, at, size = [], 0, 0
+        for k, r in enumerate(held):
+            size += len(r[2])
+            if size > 1 << 20 or k + 1 == len(held):
+                own = held[at : k + 1]
+                text, offset, a, d, e = anchors([x[2] for x in own], length, gram)
+                ids, ties = (np.array([x[c] for x in own], np.int64)[text] for c in (0, 1))
+                parts.append((a, d, e, ids, ties, offset))
+                at, size = k + 1, 0
         a, d, e, i, t, at = (np.concatenate([p[k] for p in parts]) for k in range(6))
-        order = np.lexsort((at, t, i, e, d, a))
+        order = np.argsort(mixed(a.view(U) * U(31) + d.view(U)), kind="stable")
         a, d, e, i, t, at = (x[order] for x in (a, d, e, i, t, at))
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (e[1:] != e[:-1])))
-        return (a, d, e, i, t, at), new
+        return (a, d, e, i, t, at), np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (e[1:] != e[:-1])))[: len(a)]
 
     held, size = [], 0
     for b in small_batches(batches, 1 << 20):
-        text, offset, a, d, e = anchors([x or b"" for x in pc.cast(b.column(2), pa.binary()).to_pylist()], length, gram)
-        if len(text):
-            held.append((a, d, e, b.column(0).to_numpy()[text], b.column(1).to_numpy()[text], offset))
+        held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x or b"" for x in pc.cast(b.column(2), pa.binary()).to_pylist()))
         size += b.nbytes
         if size > COLLAPSE:
-            if held:
-                yield ordered(held)
+            yield ordered(held)
             held, size = [], 0
     if held:
         yield ordered(held)
 
 
+def _pairs_of_anchors(batches, length: int, gram: int):
+    """(anchor, digest of the surroundings) of about COLLAPSE bytes of texts (id, tie, text) at a time."""
+    held, size = [], 0
+    for b in small_batches(batches, 1 << 20):
+        held.append(anchors([x or b"" for x in pc.cast(b.column(2), pa.binary()).to_pylist()], length, gram, both=False)[2:4])
+        size += b.nbytes
+        if size > COLLAPSE:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 class Counters:
     """Largest counts of a stream with a bounded number of counters, short by one of COUNTERS of the stream at most; sums of such are such."""
 
@@ -142,9 +169,16 @@ def crowded(texts: DataFrame, length: int, gram: int, most: int) -> np.ndarray:
 
     def run(batches):
         c, total = Counters(), 0
-        for (a, *_), new in _batches_of_anchors(batches, length, gram):
-            c.add(*np.unique(a[new], return_counts=True))
-            total += int(new.sum())
+        for a, d in _pairs_of_anchors(batches, length, gram):
+            total += len(a)
+            own = np.sort(a)
+            head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))[: len(own)]
+            often = own[head][np.diff(np.append(head, len(own))) > (FEW if len(own) > FEW * 4 * HOT else 0)]
+            rows = np.isin(a, often)
+            a, d = a[rows], d[rows]
+            order = np.lexsort((d, a))
+            a, d = a[order], d[order]
+            c.add(*np.unique(a[np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])))[: len(a)]], return_counts=True))
         yield as_batch(schema, np.append(c.keys, 0), np.append(c.n, 0), np.append(np.zeros(len(c.keys), np.int64), total))
 
     counted = cut(texts.mapInArrow(run, "anchor long, n long, total long").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "counters")
@@ -350,15 +384,37 @@ def marked(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     return out
 
 
-def spans(places: list[dict], text: bytes) -> list[tuple[int, int]]:
-    """Maximal stretches of ``text`` to remove."""
-    out: list[list[int]] = []
-    for lo, hi in sorted((p["at"], min(len(text), p["at"] + p["size"])) for p in places):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        elif hi > lo:
-            out.append([lo, hi])
-    return [tuple(s) for s in out]
+SPANS = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("spans", pa.list_(pa.int32()))])
+
+
+def per_text(marks: DataFrame) -> DataFrame:
+    """(id, tie, spans): all stretches of one text as one row, merged, as ends that alternate: begin, end, begin, end, ..."""
+
+    def rows(ids, tie, at, size):
+        head = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (tie[1:] != tie[:-1]))))[: len(ids)]
+        ends = np.stack((at, at + size), 1).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(ids)) * 2, pa.int32()), pa.array(ends, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(tie[head]), lists], schema=SPANS)
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 4  # of the text that may go on
+        for b in batches:
+            if b.num_rows:
+                i, t, at, size = (np.concatenate((h, b.column(k).to_numpy().astype(np.int64))) for k, h in enumerate(held))
+                i, t, at, size = merged(i, t, at, at + size)
+                last = int(np.argmax((i == i[-1]) & (t == t[-1])))
+                if last:
+                    yield rows(i[:last], t[:last], at[:last], size[:last])
+                held = [x[last:] for x in (i, t, at, size)]
+        if len(held[0]):
+            yield rows(*held)
+
+    return marks.repartition("id", "tie").sortWithinPartitions("id", "tie", "at").mapInArrow(run, "id long, tie long, spans array<int>")
+
+
+def spans(ends: list[int], text: bytes) -> list[tuple[int, int]]:
+    """Stretches of ``text`` to remove, from a row of ``per_text``; the last one may pass its end."""
+    return [(lo, min(hi, len(text))) for lo, hi in zip(ends[::2], ends[1::2]) if lo < len(text)]
 
 
 def with_spans(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -376,7 +432,7 @@ def with_spans(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str
     texts = docs.select(own.alias("id"), ties.alias("tie"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if again:
         texts = texts.dropDuplicates(["id", "tie"])
-    each = marked(texts, **how).groupBy(F.col("id").alias(id_), F.col("tie").alias(tie)).agg(F.collect_list(F.struct("at", "size")).alias(out))  # of one text
+    each = per_text(marked(texts, **how)).select(F.col("id").alias(id_), F.col("tie").alias(tie), F.col("spans").alias(out))
     return docs.withColumn(id_, own).withColumn(tie, ties).join(each, [id_, tie], "left").select(*docs.columns, out)
 
 

@@ -43,7 +43,7 @@ class RunIndex:
     def _common(self, levels, symbols, rest, a, b) -> np.ndarray:
         """Lengths of the common beginnings of suffixes, by ranks of falling prefix lengths, then single symbols."""
         got, last = np.zeros(len(a), np.int64), self.n - 1
-        for h, rank in (*reversed(levels), *[(1, symbols)] * 3):
+        for h, rank in (*reversed(levels), *[(1, symbols)] * 4):
             got += h * (rank[np.minimum(a + got, last)] == rank[np.minimum(b + got, last)])
         return np.minimum(np.minimum(got, self.depth), np.minimum(rest[a], rest[b]))
 
@@ -59,12 +59,13 @@ class RunIndex:
             raise ValueError(f"more than {1 << PLACE_BITS} symbols in one index")
         place = np.arange(n)
         key = np.zeros(n, np.int64)
-        for j in range(4):
+        first = max(1, min(5, (63 - bits) // 9))  # symbols of 9 bits that fit above a place
+        for j in range(first):
             part = np.zeros(n, np.int64)
             part[: n - j] = symbols[j:]
             part[rest < j] = 0
             key = key << 9 | part
-        h, levels = 4, []
+        h, levels = first, []
         while True:
             s = np.sort(key << bits | place)
             order = s & ((1 << bits) - 1)
@@ -72,7 +73,8 @@ class RunIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate(([0], (s[1:] != s[:-1]).astype(np.int64))))
             levels.append((h, rank))
-            if n == rank[order[-1]] + 1 or h >= most:
+            undecided = (s[1:] == s[:-1]) & (rest[order[1:]] >= h)  # equal so far, and not yet at their ends
+            if h >= most or not undecided.any():
                 return levels, order
             further = np.zeros(n, np.int64)
             further[: n - h] = rank[h:]
