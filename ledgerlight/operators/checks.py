@@ -162,7 +162,8 @@ def table_sums(cells: DataFrame, total: str = r"(?i)^(?:summe|gesamt|total|insge
         return pd.DataFrame(out, columns=[*PLACE, "check", "status", "actual", "expected", "tolerance", "rounded"])
 
     kept = cells.where("kind = 'amount' AND micro IS NOT NULL").select(*PLACE, "label", "micro", "display_unit")
-    return kept.groupBy("doc_id", "table_no").applyInPandas(
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables stay spread: the work is Python's, not the bytes'
+    return kept.repartition(parts, "doc_id", "table_no").groupBy("doc_id", "table_no").applyInPandas(
         one, "doc_id long, table_no int, row_no int, column_no int, check string, status string, actual decimal(38,0), expected decimal(38,0), tolerance decimal(38,0), rounded boolean"
     )
 

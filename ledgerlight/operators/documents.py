@@ -126,4 +126,5 @@ def page_tables(items: DataFrame, gap: float = 12.0) -> DataFrame:
             group, waiting = [], line
         return pd.DataFrame(rows, columns=["doc_id", "page", "table_no", "row_no", "column_no", "text"])
 
-    return items.select("doc_id", "page", "text", "x", "y", "width", "height").groupBy("doc_id", "page").applyInPandas(one, out)
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small pages stay spread: the work is Python's, not the bytes'
+    return items.select("doc_id", "page", "text", "x", "y", "width", "height").repartition(parts, "doc_id", "page").groupBy("doc_id", "page").applyInPandas(one, out)
