@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import settled
+
 
 def paths(items: DataFrame, most: int) -> DataFrame:
     """Items (k, parent, sort, ...) with depth and sort path; those deeper than ``most`` levels or on cycles have none."""
@@ -37,7 +39,7 @@ def issues(items: DataFrame, most: int = 3, longest: int = 2000) -> DataFrame:
     known = items.select(F.col("k").alias("_known")).distinct()
     placed = paths(items.dropDuplicates(["k"]), most).select(F.col("k").alias("_k"), "depth")
     all_ = per.join(known, F.col("parent") == F.col("_known"), "left").join(placed, F.col("k") == F.col("_k"), "left")
-    up = _cycles(items, most)
+    up = _cycles(items)
     all_ = all_.join(up, "k", "left")
     t = F.col("text")
     found = F.filter(
@@ -74,11 +76,18 @@ def field_issues(items: DataFrame) -> DataFrame:
     return each.unionByName(whole)
 
 
-def _cycles(items: DataFrame, most: int) -> DataFrame:
-    """(k, cycle): whether an item is its own ancestor, by doubling the ancestor step."""
-    step = items.where(F.col("parent").isNotNull()).select("k", F.col("parent").alias("up")).distinct()
-    reach = step
-    for _ in range(4):  # 16 levels
-        longer = reach.alias("a").join(reach.alias("b"), F.col("a.up") == F.col("b.k")).select(F.col("a.k").alias("k"), F.col("b.up").alias("up"))
-        reach = reach.unionByName(longer).distinct()
-    return reach.groupBy("k").agg(F.bool_or(F.col("k") == F.col("up")).alias("cycle"))
+def _cycles(items: DataFrame) -> DataFrame:
+    """(k, cycle = true) of items on cycles of any length, by pointer jumping: every step goes twice as far as the one before.
+
+    Items whose chain of parents ends drop out. When steps are as long as there are items
+    left, every step has come to a cycle, and each item of a cycle is where some step ends. Of
+    repeated keys the least parent counts. Memory and rows a round: one row for each item left.
+    """
+    first = items.groupBy("k").agg(F.min("parent").alias("up")).where("up IS NOT NULL")
+    step, length, left = settled(first.join(first.select(F.col("k").alias("up")), "up", "left_semi")), 1, None
+    while (left := step.count()) > length:
+        step = step.alias("a").join(step.alias("b"), F.col("a.up") == F.col("b.k")).select(F.col("a.k").alias("k"), F.col("b.up").alias("up"))
+        step, length = settled(step), 2 * length
+    # what is left has a step of this length; on a cycle that permutes its items, elsewhere it may still be a chain's end
+    ends = step.select(F.col("up").alias("k")).distinct()
+    return ends.join(step.select("k"), "k", "left_semi").distinct().withColumn("cycle", F.lit(True)) if left else ends.withColumn("cycle", F.lit(True)).where("false")

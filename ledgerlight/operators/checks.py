@@ -134,7 +134,8 @@ def table_sums(cells: DataFrame, total: str = r"(?i)^(?:summe|gesamt|total|insge
 
     Rows go on a stack; a labelled total takes the shortest run of 2 to 12 rows on top that
     gives it, else all of them and is a mismatch; other rows that equal such a run within
-    their own unit are subtotals found. A total stands for the rows that it took.
+    their own unit are subtotals found. A total stands for the rows that it took. The
+    whole rules, with the tolerance of all terms, are those of ``tables.list_sums``.
     """
     import re
 

@@ -89,10 +89,10 @@ def masked(blocks: DataFrame) -> DataFrame:
 
 
 def stale_years(now: DataFrame, prior: DataFrame, report_year: int) -> DataFrame:
-    """Paragraphs that still name the prior report's year: a twin with the same mask in the prior report makes it a mismatch, else a suspicion."""
+    """Paragraphs that still name the prior report's year: a twin with the same mask in the same company's prior report (of the same doc_id) makes it a mismatch, else a suspicion."""
     old = masked(now).where(F.array_contains("years", F.lit(report_year - 1)) & ~F.array_contains("years", F.lit(report_year)))
-    twins = masked(prior).select(F.col("mask"), F.lit(True).alias("twin")).distinct()
-    return old.join(twins, "mask", "left").select("doc_id", "ordinal", F.lit("rollover").alias("check"), F.when(F.col("twin"), "mismatch").otherwise("uncertain").alias("status"))
+    twins = masked(prior).select("doc_id", F.col("mask"), F.lit(True).alias("twin")).distinct()
+    return old.join(twins, ["doc_id", "mask"], "left").select("doc_id", "ordinal", F.lit("rollover").alias("check"), F.when(F.col("twin"), "mismatch").otherwise("uncertain").alias("status"))
 
 
 def prior_report(cells: DataFrame, prior_cells: DataFrame) -> DataFrame:

@@ -47,10 +47,9 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(F.try_divide(100.0 * part, whole), digits)
 
 
-def upper_median(c: Column) -> Column:
-    """Element at floor(n / 2), from 0, of the sorted values."""
-    values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_median(name: str) -> Column:
+    """Element at floor(n / 2), from 0, of the sorted values of a column: from above it is the first with half of them. Holds counts of distinct values, not the values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 
 def best_as_of(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str]) -> DataFrame:

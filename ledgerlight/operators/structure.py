@@ -177,7 +177,7 @@ def line_blocks(lines: DataFrame) -> DataFrame:
     """Blocks of lines: a gap over one and a half heights, a list mark or a larger font begins a new one; large lines are headings."""
     from .readmodels import upper_median
 
-    median = lines.groupBy("doc_id").agg(upper_median(F.col("height")).alias("usual"))
+    median = lines.groupBy("doc_id").agg(upper_median("height").alias("usual"))
     w = Window.partitionBy("doc_id").orderBy("page", "line")
     large = F.col("height") >= 1.2 * F.col("usual")
     own = lines.join(median, "doc_id").withColumn("large", large).withColumn("mark", F.col("text").rlike("^(?:[-–•▪]|\\d{1,2}[.)]|[a-z]\\))\\s"))

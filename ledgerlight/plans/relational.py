@@ -312,7 +312,7 @@ def a9_mode_with_ties(spark, sf_dir):
 
 @query("""SELECT l_partkey, list_sort(list(l_quantity))[(floor(count(*) / 2) + 1)::INT] AS median FROM lineitem GROUP BY 1""")
 def a10_upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(rm.upper_median(F.col("l_quantity")).alias("median"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(rm.upper_median("l_quantity").alias("median"))
 
 
 @query("""SELECT l_partkey, bool_and(l_tax = (SELECT min(b.l_tax) FROM lineitem b WHERE b.l_partkey = a.l_partkey)) AS agree, count(*) AS n FROM lineitem a GROUP BY 1""")

@@ -79,3 +79,19 @@ def test_upsert_and_as_of(spark):
     b = spark.createDataFrame([(2, None), (3, "c")], "k long, v string")
     assert sorted(map(tuple, readmodels.upsert(t, b, ["k"]).collect())) == [(1, "a"), (2, None), (3, "c")]
     assert readmodels.append_new(t, b, ["k"]).count() == 3
+
+
+def test_cycles_of_any_length(spark):
+    rows, want = [], set()
+    for name, n in (("a", 2), ("b", 10), ("c", 17), ("d", 1000)):
+        rows += [(f"{name}{i}", f"{name}{(i + 1) % n}", "s", "t") for i in range(n)]
+        want |= {(f"{name}{i}", "cycle") for i in range(n)}
+    rows += [(f"tail{i}", f"tail{i - 1}" if i else "b3", "s", "t") for i in range(40)] + [(f"chain{i}", f"chain{i - 1}" if i else None, "s", "t") for i in range(40)] + [("self", "self", "s", "t"), ("on", "self", "s", "t")]
+    want |= {(f"tail{i}", "too_deep") for i in range(40)} | {(f"chain{i}", "too_deep") for i in range(3, 40)} | {("self", "self_parent"), ("on", "too_deep")}
+    assert {(r.k, r.issue) for r in checklist.issues(spark.createDataFrame(rows, "k string, parent string, sort string, text string")).collect()} == want
+    assert checklist.issues(spark.createDataFrame(rows[-42:-40], "k string, parent string, sort string, text string")).where("issue = 'cycle'").count() == 0
+
+
+def test_upper_median(spark):
+    df = spark.createDataFrame([(k, float(v)) for k in range(1, 8) for v in range(k)], "k int, v double")
+    assert {r.k: r.m for r in df.groupBy("k").agg(readmodels.upper_median("v").alias("m")).collect()} == {k: k // 2 for k in range(1, 8)}

@@ -44,6 +44,7 @@ def test_prior_reports(spark):
     now = spark.createDataFrame([(1, 1, "Im Jahr 2020 zahlten wir 5 EUR."), (1, 2, "Neu in 2020 waren 7 Dinge."), (1, 3, "2021 und 2020 im Vergleich")], "doc_id long, ordinal long, text string")
     prior = spark.createDataFrame([(1, 9, "Im Jahr 2020 zahlten wir 99 EUR.")], "doc_id long, ordinal long, text string")
     assert {r.ordinal: r.status for r in op.stale_years(now, prior, 2021).collect()} == {1: "mismatch", 2: "uncertain"}
+    assert {r.status for r in op.stale_years(now, prior.selectExpr("doc_id + 1 AS doc_id", "ordinal", "text"), 2021).collect()} == {"uncertain"}
     schema = "doc_id long, table_no int, row_no int, column_no int, label string, period string, kind string, micro decimal(38,0), display_unit decimal(38,0)"
     cell = lambda row, label, period, v: (1, 1, row, 1, label, period, "amount", Decimal(v), Decimal(1))
     a = spark.createDataFrame([cell(1, "A. Kasse", "prior", 5), cell(2, "Bank:", "prior", -7), cell(3, "Rest", "prior", 1)], schema)
