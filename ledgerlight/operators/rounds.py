@@ -1,13 +1,21 @@
-"""Work in rounds: each round's table is written to the shared folder before the next reads it."""
+"""Tables written in between: work in rounds, and tables that several parts of a plan read."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written as a checkpoint: ends the lineage and survives lost executors. The folder is ``spark.checkpoint.dir``; only where that is unset (tests), one below the warehouse."""
+    """``df`` written to the shared folder and read back: computed once, ends the lineage, survives lost executors; deleted when the application ends.
+
+    The folder is ``spark.checkpoint.dir``; only where that is unset (tests), one below the warehouse.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
-    return df.checkpoint()
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    path = f"{place}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
