@@ -81,6 +81,15 @@ def item_of_label(c: Column) -> Column:
     return once(bare_label(c), _row)
 
 
+def _mentioned(plain: Column) -> Column:
+    return F.coalesce(*(F.when(plain.rlike(f"(?iu)(?<!\\p{{L}})(?:{text})(?!\\p{{L}})"), F.lit(key)) for key, _, _, text in ITEMS))
+
+
+def item_of_caption(c: Column) -> Column:
+    """Key of the item a table's caption is about: its label as a row, else the first item in the catalogue that it mentions."""
+    return once(bare_label(c), lambda plain: F.coalesce(_row(plain), _mentioned(plain)))
+
+
 def item_of_account(c: Column) -> Column:
     """Key of the item an account counts towards: its label as a row, but no total; else the first single item that it names."""
     return once(bare_label(c), lambda plain: F.when(_row(plain).isNotNull(), F.when(~_row(plain).isin(*TOTALS), _row(plain))).otherwise(_named(plain)))
