@@ -77,8 +77,9 @@ def build(figures: DataFrame, captions: DataFrame | None = None, groups: DataFra
     if captions is None:
         rows = rows.withColumn("_caption", F.lit(None).cast("string"))
     else:
-        rows = rows.join(captions.select(*TABLE, item_of_caption(F.col("caption")).alias("_caption")), list(TABLE), "left")
-    kinds = rows.select("label").distinct().withColumn("_item", item_of_label(F.col("label")))  # the catalogue looks at each wording once
+        about = captions.select("caption").distinct().withColumn("_caption", item_of_caption(F.col("caption"))).where("_caption IS NOT NULL")
+        rows = rows.join(captions.join(about, "caption").select(*TABLE, "_caption"), list(TABLE), "left")
+    kinds = rows.select("label").distinct().withColumn("_item", item_of_label(F.col("label")))  # the catalogue looks at each wording once, of captions too
     total = F.coalesce(F.col("label").rlike(SUM_ROW), F.lit(False))
     item = F.when(total, F.col("_caption")).otherwise(F.col("_item"))
     return rows.join(kinds, "label", "left").select(
