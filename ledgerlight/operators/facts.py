@@ -2,7 +2,8 @@
 
 ``figures`` is the long table of ``tables.model``. All grouping is partial before it is
 shuffled: a group keeps its best fact and the bounds of its values, never a list of its facts,
-so that a document or an item with very many facts costs no more than its rows.
+so that a document or an item with very many facts costs no more than its rows. What a plan reads
+more than once is written once (``settled``), which keeps plans small and survives lost executors.
 
 Null captions, groups, periods and figures are as if they were not there; empty tables give no rows.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.exact import compared, ratio_percent, whole
 from ..functions.lineitems import item_of_caption, item_of_label, kind_of_item
 from .checks import PLACE
+from .rounds import settled
 
 TABLE, VALUE = ("doc_id", "table_no"), ("doc_id", "key", "period")
 #: Labels of rows that sum up a whole table, column groups that hold the total, column groups that name a unit or a date only. Fixed values.
@@ -79,6 +81,7 @@ def build(figures: DataFrame, captions: DataFrame | None = None, groups: DataFra
     else:
         about = captions.select("caption").distinct().withColumn("_caption", item_of_caption(F.col("caption"))).where("_caption IS NOT NULL")
         rows = rows.join(captions.join(about, "caption").select(*TABLE, "_caption"), list(TABLE), "left")
+    rows = settled(rows)  # read for its labels, too
     kinds = rows.select("label").distinct().withColumn("_item", item_of_label(F.col("label")))  # the catalogue looks at each wording once, of captions too
     total = F.coalesce(F.col("label").rlike(SUM_ROW), F.lit(False))
     item = F.when(total, F.col("_caption")).otherwise(F.col("_item"))
@@ -160,6 +163,7 @@ def evaluated(values: DataFrame, formulas=FORMULAS) -> DataFrame:
 
 def shares(values: DataFrame, formulas=FORMULAS) -> DataFrame:
     """Every item's share in the balance sheet total: doc_id, period, key (``share:`` and the item), micro (micro per cent), display_unit."""
+    values = settled(values)
     total = values.where((F.col("key") == WHOLE) & ~F.col("alternate_only")).select("doc_id", "period", F.col("micro").alias("_total"))
     tables = values.where("item_kind IS NOT NULL AND NOT alternate_only").select("doc_id", "period", "key", "micro")
     made = evaluated(values, [f for f in formulas if f[1] != "share"]).where("NOT from_tables").select("doc_id", "period", "key", "micro")
@@ -170,6 +174,7 @@ def shares(values: DataFrame, formulas=FORMULAS) -> DataFrame:
 def derived_rows(facts: DataFrame, formulas=FORMULAS) -> DataFrame:
     """Rows of items that a formula gives against the formula: PLACE, check, status, actual, expected, tolerance, rounded."""
     money = [f[0] for f in formulas if f[1] != "share"]
+    facts = settled(facts)
     made = evaluated(resolved(facts), formulas).where(F.col("key").isin(money)).select("doc_id", "period", "key", F.col("micro").alias("_expected"), F.col("display_unit").alias("_unit"))
     both = facts.where(F.col("key").isin(money) & (F.col("unit") == "EUR")).join(made, list(VALUE)).withColumn("_c", compared(F.col("micro"), F.col("display_unit"), F.col("_expected"), F.col("_unit"), 2))
     return both.select(*PLACE, F.lit("derived").alias("check"), F.col("_c.status").alias("status"), F.col("micro").alias("actual"), F.col("_expected").alias("expected"), F.col("_c.tolerance").alias("tolerance"), F.col("_c.rounded").alias("rounded"))
@@ -221,7 +226,7 @@ def references(facts: DataFrame, figures: DataFrame) -> DataFrame:
     tolerance, rounded, ref_table, ref_row, ref_column.
     """
     group = ["doc_id", "item", "period"]
-    f = facts.where("item IS NOT NULL AND unit = 'EUR'")
+    f = settled(facts.where("item IS NOT NULL AND unit = 'EUR'"))
     order = F.struct("alternate", "relabelled", (~F.col("confirmed")).alias("unsure"), "display_unit", "table_no", "row_no", "column_no")
     kept = ("table_no", "row_no", "column_no", "micro", "display_unit", "terms", "alternate", "relabelled", "via_caption", "figure_period")
     best = f.groupBy(*group).agg(F.min_by(F.struct(*kept), order).alias("r"))
@@ -233,7 +238,7 @@ def references(facts: DataFrame, figures: DataFrame) -> DataFrame:
     both = both.where(match | ~other | (F.col("item_kind") == "result")).withColumn(
         "code", F.when(match, "reference_matches").when(other, "reference_structure").when(inferred, "reference_candidates").when(sign, "reference_sign").otherwise("reference_differs")
     )
-    both = both.withColumn("_id", F.struct(*PLACE))
+    both = settled(both.withColumn("_id", F.struct(*PLACE)))
     of = lambda c: F.when(F.col("via_caption"), F.struct(F.col("r.table_no").alias("t"), F.col("r.row_no").alias("n"), F.col("figure_period").alias("p"), F.col("micro").alias("m"), F.col("display_unit").alias("u"))).otherwise(
         F.struct(F.col("table_no").alias("t"), F.col("row_no").alias("n"), F.col("r.figure_period").alias("p"), F.col("r.micro").alias("m"), F.col("r.display_unit").alias("u")))[c]
     pairs = both.where((F.col("code") != "reference_matches") & (F.col("via_caption") | F.col("r.via_caption"))).select(

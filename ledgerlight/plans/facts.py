@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact
 from ..operators import facts
+from ..operators.rounds import settled
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -41,23 +42,24 @@ def _case(values) -> str:
 
 
 #: Rows (doc_id, table_no, row_no, p: number of the label, s, k: order), cells (and column_no, v in units), captions and groups of columns.
-SHEETS = f"""
+_LINES = f"""
 l AS (SELECT CAST(floor(l_orderkey / 4) AS BIGINT) AS doc_id, CAST(l_orderkey % 4 AS INT) AS table_no, l_orderkey AS k, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS INT) AS row_no, CAST(l_partkey % 16 AS INT) AS p, CAST(l_suppkey + l_linenumber AS BIGINT) AS s FROM {{lineitem}}),
-c AS (SELECT 1 AS column_no UNION ALL SELECT 2 UNION ALL SELECT 3),
 lines AS (SELECT *, {_case([n for n, *_ in LABELS])} || {_case([x for _, x, *_ in LABELS])} AS raw_label, {_case([x for _, x, *_ in LABELS])} AS label, CASE p {" ".join(f"WHEN {i} THEN {_DEPTH[n]}" for i, (n, *_) in enumerate(LABELS) if _DEPTH[n])} END AS level, k % 6 = 0 AS alternate, p = 11 AS davon,
-  1000 * (1 + (doc_id * 7 + CASE WHEN p = 9 AND s % 3 = 0 THEN 13 WHEN p = 15 THEN 2 ELSE p END * 13) % 50) AS base FROM l),
+  1000 * (1 + (doc_id * 7 + CASE WHEN p = 9 AND s % 3 = 0 THEN 13 WHEN p = 15 THEN 2 ELSE p END * 13) % 50) AS base FROM l)"""
+_CELLS = """
 cells AS (SELECT lines.*, column_no, CASE WHEN s % 3 = 0 THEN 10 ELSE 1 END AS u, CASE WHEN s % 17 = 0 THEN 'pieces' WHEN s % 13 = 0 THEN 'percent' ELSE 'EUR' END AS unit, CASE WHEN column_no = 2 THEN 'prior' ELSE 'current' END AS column_period,
     CASE WHEN s % 19 <> 0 THEN CASE WHEN column_no = 2 THEN 'prior' ELSE 'current' END END AS period,
     (base + CASE WHEN column_no = 2 THEN 100 ELSE 0 END + CASE s % 8 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 3 THEN 500 ELSE 0 END) * CASE WHEN s % 8 = 2 THEN -1 ELSE 1 END AS v
-  FROM lines CROSS JOIN c WHERE column_no < 3 OR k % 11 IN (0, 2)),
-captions AS (SELECT doc_id, table_no, CASE k % 5 WHEN 0 THEN '9. Rückstellungen:' WHEN 1 THEN 'Entwicklung des Eigenkapitals im Jahr' WHEN 2 THEN '' WHEN 3 THEN 'Jahresüberschuss' END AS caption FROM l WHERE row_no = 0),
-grps AS (SELECT doc_id, table_no, column_no, CASE WHEN k % 11 IN (0, 2) THEN CASE column_no WHEN 1 THEN 'Inland' WHEN 2 THEN 'Gesamt' ELSE CASE WHEN k % 11 = 0 THEN 'Gesamt' ELSE 'Ausland' END END WHEN k % 11 = 1 THEN CASE column_no WHEN 1 THEN 'EUR' ELSE '31.12.2021' END WHEN k % 11 = 3 THEN '' END AS grp FROM l CROSS JOIN c WHERE row_no = 0)"""
+  FROM lines {each} WHERE column_no < 3 OR k % 11 IN (0, 2)),
+captions AS (SELECT doc_id, table_no, CASE k % 5 WHEN 0 THEN '9. Rückstellungen:' WHEN 1 THEN 'Entwicklung des Eigenkapitals im Jahr' WHEN 2 THEN '' WHEN 3 THEN 'Jahresüberschuss' END AS caption FROM lines WHERE row_no = 0),
+grps AS (SELECT doc_id, table_no, column_no, CASE WHEN k % 11 IN (0, 2) THEN CASE column_no WHEN 1 THEN 'Inland' WHEN 2 THEN 'Gesamt' ELSE CASE WHEN k % 11 = 0 THEN 'Gesamt' ELSE 'Ausland' END END WHEN k % 11 = 1 THEN CASE column_no WHEN 1 THEN 'EUR' ELSE '31.12.2021' END WHEN k % 11 = 3 THEN '' END AS grp FROM lines {each} WHERE row_no = 0)"""
 
 
 def sheets(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The tables, captions, groups and sums as the operators take them."""
-    sql = SHEETS.format(lineitem=f"parquet.`{sf_dir}/lineitem.parquet`")
-    read = lambda what: spark.sql(f"WITH {sql} {what}")
+    made = settled(spark.sql(f"WITH {_LINES.format(lineitem=f'parquet.`{sf_dir}/lineitem.parquet`')} SELECT * FROM lines"))  # four tables come from it
+    cells = _CELLS.format(each="LATERAL VIEW explode(array(1, 2, 3)) x AS column_no")
+    read = lambda what: spark.sql(f"WITH lines AS (SELECT * FROM {{made}}), {cells} {what}", made=made)
     amount = "CAST({} * 1000000 AS DECIMAL(38,0))"
     figures = read(
         f"SELECT doc_id, table_no, row_no, column_no, raw_label, label, level, davon, alternate, {amount.format('v')} AS micro, {amount.format('u')} AS display_unit, 0 AS decimals, unit, period, false AS issue, column_period, false AS percent, false AS change, false AS share, true AS amount FROM cells"
@@ -69,7 +71,7 @@ def sheets(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
 _ITEM = "CASE label " + " ".join(f"WHEN '{x}' THEN '{i}'" for x, i in dict((x, i) for _, x, i, _ in LABELS if i).items()) + " END"
 _KIND = "CASE item " + " ".join(f"WHEN '{i}' THEN '{k}'" for i, k in dict((i, k) for _, _, i, k in LABELS if i).items()) + " END"
 #: Facts by plain rules: the catalogue as a CASE, broken-down tables by their orders' numbers.
-SQL_FACTS = f"""{SHEETS.format(lineitem="lineitem")},
+SQL_FACTS = f"""{_LINES.format(lineitem="lineitem")}, {_CELLS.format(each="CROSS JOIN (SELECT unnest([1, 2, 3]) AS column_no)")},
 told AS (SELECT cells.* REPLACE (CASE WHEN s % 14 = 0 THEN 'Jahresüberschuss' ELSE label END AS label), s % 14 = 0 AS relabelled, s % 2 = 0 AND s % 10 < 5 AS confirmed, CASE WHEN s % 10 = 0 THEN 3 ELSE 1 END AS terms, coalesce(period, column_period) AS "per",
     CASE k % 5 WHEN 0 THEN 'rueckstellungen' WHEN 1 THEN 'eigenkapital' WHEN 3 THEN 'jahresergebnis' END AS captioned
   FROM cells WHERE NOT davon AND unit <> 'pieces' AND CASE k % 11 WHEN 0 THEN column_no > 1 WHEN 2 THEN column_no = 2 ELSE true END),
