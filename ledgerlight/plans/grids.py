@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import canonical
 from ..operators import assignment, grid
 from ..operators import readmodels as rm
 from .common import table
@@ -139,6 +140,27 @@ def d35_cache_lookup(spark, sf_dir):
     return scope.join(cache, "k", "left").select("k", "n", F.when(F.col("valid").isNull(), "miss").when(~F.col("valid"), "expired").otherwise("hit").alias("cache"))
 
 
+F60 = """
+WITH lines AS (SELECT l_orderkey AS k, string_agg('{"charges":{"2":' || regexp_replace(CAST(round(l_tax, 2) AS VARCHAR), '\\.0$', '') || ',"10":' || regexp_replace(CAST(round(l_discount, 2) AS VARCHAR), '\\.0$', '') || ',"net":' || regexp_replace(CAST(round(l_extendedprice, 2) AS VARCHAR), '\\.0$', '') || '},"n":' || l_linenumber || ',"status":' || to_json(l_linestatus) || '}', ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS t FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS k, '{"key":' || o_orderkey || ',"lines":[' || t || '],"note":null,"Priority":"' || o_orderpriority || '\\n\\"","total":' || regexp_replace(CAST(round(o_totalprice, 2) AS VARCHAR), '\\.0$', '') || '}' AS text, sha256(text) AS content_hash FROM orders JOIN lines ON k = o_orderkey"""
+
+
+@query(F60)
+def f60_canonical_hash(spark, sf_dir):
+    """Orders with their lines (a handful each) as canonical JSON, and its digest: nested lists and objects, whole-number keys, numbers, escapes."""
+    li = table(spark, sf_dir, "lineitem")
+    two = lambda c: F.round(F.col(c).cast("double"), 2)
+    charges = F.struct(two("l_extendedprice").alias("net"), two("l_discount").alias("10"), two("l_tax").alias("2"))
+    one = F.struct(F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("n"), charges.alias("charges"))
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("at")
+    lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, one.alias("x")))), lambda e: e["x"]).alias("lines"))
+    both = table(spark, sf_dir, "orders").join(lines, "o_orderkey")
+    whole = F.struct(two("o_totalprice").alias("total"), F.concat("o_orderpriority", F.lit('\n"')).alias("Priority"), F.lit(None).cast("string").alias("note"), "lines", F.col("o_orderkey").alias("key"))
+    made = both.select(F.col("o_orderkey").alias("k"), whole.alias("x"))
+    text = canonical.canonical(F.col("x"), made.schema["x"].dataType)
+    return made.select("k", text.alias("text")).withColumn("content_hash", F.sha2("text", 256))
+
+
 D38 = """
 SELECT o_custkey AS release, sha256(string_agg(o_orderkey || ':' || o_orderpriority, '|' ORDER BY o_orderkey)) AS content_hash FROM orders GROUP BY 1"""
 
