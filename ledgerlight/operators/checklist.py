@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import settled
+from .rounds import numbered, settled
 
 
 def paths(items: DataFrame, most: int) -> DataFrame:
@@ -33,6 +33,36 @@ def preorder(items: DataFrame, most: int) -> DataFrame:
     return inner.join(before, "_root").withColumn("position", (F.col("_before") + F.col("_at")).cast("long")).drop("_root", "_before", "_at")
 
 
+def display_order(items: DataFrame, deepest: int = 3, locale: str = "de") -> DataFrame:
+    """Items (k, key, parent_key, sort, ...) with ``depth`` from 0 and ``position`` from 1: parents before children, siblings by ``sort``, then by key in the locale's order.
+
+    Parents are found whatever the case of their key; an item whose parent is unknown is a
+    root. Items below ``deepest`` or on cycles are left out, equal ones follow ``k``, a null
+    ``sort`` comes first. Keys are meant to be unique (see ``issues``).
+    """
+    ids = items.select(F.lower("key").alias("_id")).where("_id IS NOT NULL").distinct()
+    own = items.join(ids.withColumnRenamed("_id", "_up"), F.lower("parent_key") == F.col("_up"), "left")
+    place = lambda d: F.struct("sort", F.collate("key", locale).alias("key"), "k").alias(f"_{d}")
+    level = own.where("_up IS NULL").select(*items.columns, place(0))
+    found = level.withColumn("depth", F.lit(0))
+    for depth in range(1, deepest + 1):
+        above = level.select(F.lower("key").alias("_up"), *(f"_{d}" for d in range(depth)))
+        level = own.where("_up IS NOT NULL").join(above, "_up").select(*items.columns, *(f"_{d}" for d in range(depth)), place(depth))
+        found = found.unionByName(level.withColumn("depth", F.lit(depth)), allowMissingColumns=True)
+    order = [F.col(f"_{d}.{c}").asc_nulls_first() for d in range(deepest + 1) for c in ("sort", "key", "k")]
+    return numbered(found, order).drop(*(f"_{d}" for d in range(deepest + 1)))
+
+
+def moved(items: DataFrame, step: int) -> DataFrame:
+    """Items (k, parent, sort) with ``new_sort`` after each alone changes places with its neighbour among its siblings: ``step`` -1 up, 1 down; null at the end of the list.
+
+    ``swap_k`` is the neighbour, which takes the item's ``sort``.
+    """
+    w = Window.partitionBy("parent").orderBy("sort", "k")
+    other = lambda c: F.lead(c).over(w) if step > 0 else F.lag(c).over(w)
+    return items.withColumn("new_sort", other("sort")).withColumn("swap_k", other("k"))
+
+
 def issues(items: DataFrame, most: int = 3, longest: int = 2000) -> DataFrame:
     """(k, issue) of checklist items (k, parent, sort, text): what stands against publishing them."""
     per = items.withColumn("same", F.count("*").over(Window.partitionBy("k")))

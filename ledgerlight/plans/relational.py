@@ -513,6 +513,45 @@ def o6_sibling_moves(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.coalesce(F.lead("s_suppkey").over(w), "s_suppkey").alias("after_move_down"))
 
 
+#: Words whose German order differs from that of their code points.
+WORDS = ("Zoll", "Ärmel", "Apfel", "ärgerlich", "Öl", "Ofen", "Über", "Ufer", "zart", "Österreich", "Arm")
+O5_GERMAN = f"""
+WITH RECURSIVE h AS (SELECT p_partkey AS k, ({list(WORDS)})[(p_partkey * 7919 % {len(WORDS)} + 1)::INT] || ' ' || p_partkey AS key, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey // 5 END AS parent, p_size % 2 AS sort FROM part),
+t AS (SELECT h.*, 0 AS depth, sort AS s0, key AS c0, k AS k0, NULL::BIGINT AS s1, NULL::VARCHAR AS c1, NULL::BIGINT AS k1, NULL::BIGINT AS s2, NULL::VARCHAR AS c2, NULL::BIGINT AS k2, NULL::BIGINT AS s3, NULL::VARCHAR AS c3, NULL::BIGINT AS k3
+  FROM h WHERE parent IS NULL OR parent NOT IN (SELECT k FROM h)
+  UNION ALL SELECT h.*, depth + 1, s0, c0, k0, CASE depth WHEN 0 THEN h.sort ELSE s1 END, CASE depth WHEN 0 THEN h.key ELSE c1 END, CASE depth WHEN 0 THEN h.k ELSE k1 END,
+    CASE depth WHEN 1 THEN h.sort ELSE s2 END, CASE depth WHEN 1 THEN h.key ELSE c2 END, CASE depth WHEN 1 THEN h.k ELSE k2 END, CASE depth WHEN 2 THEN h.sort END, CASE depth WHEN 2 THEN h.key END, CASE depth WHEN 2 THEN h.k END
+  FROM t JOIN h ON h.parent = t.k WHERE depth < 3)
+SELECT k, key, depth, row_number() OVER (ORDER BY s0, c0 COLLATE de, k0, s1 NULLS FIRST, c1 COLLATE de NULLS FIRST, k1 NULLS FIRST, s2 NULLS FIRST, c2 COLLATE de NULLS FIRST, k2 NULLS FIRST, s3 NULLS FIRST, c3 COLLATE de NULLS FIRST, k3 NULLS FIRST) AS position FROM t"""
+
+
+@query(O5_GERMAN)
+def o5_german_order(spark, sf_dir):
+    """Parts as a hierarchy in display order: umlauts in their German place, parents found in any case, four levels, positions counted over ranges."""
+    from ..operators.checklist import display_order
+
+    k = F.col("p_partkey").cast("long")
+    name = lambda n: F.concat(F.element_at(F.array(*map(F.lit, WORDS)), (n * 7919 % len(WORDS) + 1).cast("int")), F.lit(" "), n)
+    above = F.expr("p_partkey div 5")
+    items = table(spark, sf_dir, "part").select(k.alias("k"), name(k).alias("key"), F.when(k % 5 != 0, F.upper(name(above))).alias("parent_key"), (F.col("p_size") % 2).cast("long").alias("sort"))
+    return display_order(items).select("k", "key", "depth", "position")
+
+
+O6_BOTH = """
+SELECT s_suppkey AS k, step, CASE step WHEN 1 THEN lead(s_acctbal) OVER w ELSE lag(s_acctbal) OVER w END AS new_sort, CASE step WHEN 1 THEN lead(s_suppkey) OVER w ELSE lag(s_suppkey) OVER w END AS swap_k
+FROM supplier, (VALUES (-1), (1)) AS v(step) WINDOW w AS (PARTITION BY s_nationkey, step ORDER BY s_acctbal, s_suppkey)"""
+
+
+@query(O6_BOTH)
+def o6_moves_both_ways(spark, sf_dir):
+    """Where each supplier comes among its nation's, moved up and moved down, and with whom it changes places."""
+    from ..operators.checklist import moved
+
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("parent"), F.col("s_acctbal").alias("sort"))
+    up, down = (moved(s, step).select("k", F.lit(step).alias("step"), "new_sort", "swap_k") for step in (-1, 1))
+    return up.unionByName(down)
+
+
 @query("""SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 500""")
 def o7_shortlist(spark, sf_dir):
     return table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(500).select("p_partkey", "p_retailprice")

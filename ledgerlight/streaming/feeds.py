@@ -6,8 +6,9 @@ streaming result to the end of its input.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,6 +42,45 @@ def next_since(since: int, largest: int | None, overlap: int = 50) -> int:
     return since if largest is None else max(since, largest - overlap)
 
 
+def paged(feed: DataFrame, run: str, seq: str, limit: int = 500, overlap: int = 50, start: int = 0) -> DataFrame:
+    """(run, page, seq): the change feed of each run as its reader takes it, page by page, each change once.
+
+    A page holds at most ``limit`` changes after the place where it begins; the next begins
+    ``overlap`` before its end, since order of sequence is not order of commit. What it reads
+    again is dropped; a change that comes later than the overlap reaches is missed, as are
+    nulls. Between batches a run keeps where it is and the numbers seen in the overlap: no
+    more than ``overlap`` of them, so state stays small however long a run is. A batch's
+    changes of one run are read by one task; ``log_stream`` bounds them by files.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    if limit <= overlap:
+        raise ValueError("a page must be longer than the overlap")
+
+    def read(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since, page, last = state.get if state.exists else (start, 0, [])
+        seen, out = set(last), []
+        waiting = sorted(seen.union(int(x) for f in frames for x in f[seq] if x > since))
+        at = 0
+        while at < len(waiting):
+            part = waiting[at : at + limit]
+            new = [x for x in part if x not in seen]
+            if not new:
+                break
+            page += 1
+            out += [(page, x) for x in new]
+            since = next_since(since, part[-1], overlap)
+            seen = {x for x in seen.union(new) if x > since}
+            while at < len(waiting) and waiting[at] <= since:
+                at += 1
+        state.update((since, page, sorted(seen)))
+        yield pd.DataFrame({run: [key[0]] * len(out), "page": [p for p, _ in out], seq: [x for _, x in out]})
+
+    kind = {f.name: f.dataType.simpleString() for f in feed.schema}[run]
+    known = feed.select(run, F.col(seq).cast("long").alias(seq)).dropna()
+    return known.groupBy(run).applyInPandasWithState(read, f"`{run}` {kind}, page long, `{seq}` long", "since long, page long, seen array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def window_counts(events: DataFrame, at: str, keys: list[str], width: str, delay: str = "0 seconds", slide: str | None = None) -> DataFrame:
     """Counts by key in tumbling windows, or sliding ones with ``slide``."""
     marked = events.withWatermark(at, delay) if events.isStreaming else events

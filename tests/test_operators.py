@@ -95,3 +95,15 @@ def test_cycles_of_any_length(spark):
 def test_upper_median(spark):
     df = spark.createDataFrame([(k, float(v)) for k in range(1, 8) for v in range(k)], "k int, v double")
     assert {r.k: r.m for r in df.groupBy("k").agg(readmodels.upper_median("v").alias("m")).collect()} == {k: k // 2 for k in range(1, 8)}
+
+
+def test_german_order(spark):
+    from ledgerlight.operators import checklist
+
+    rows = [(1, "Zoll", None, 1), (2, "Ärmel", None, 1), (3, "Apfel", None, 1), (4, "arm", "ÄRMEL", 2), (5, "Öl", "ärmel", 2), (6, "Ofen", "Ärmel", 2), (7, "tief", "ofen", 1), (8, "tiefer", "tief", 1), (9, "zu tief", "tiefer", 1), (10, "fremd", "nirgends", 0), (11, "kreis", "kreis", 0), (12, None, "Zoll", None)]
+    df = spark.createDataFrame(rows, "k long, key string, parent_key string, sort long")
+    got = [(r.position, r.k, r.depth) for r in checklist.display_order(df).orderBy("position").collect()]
+    assert got == [(n, k, d) for n, (k, d) in enumerate([(10, 0), (3, 0), (2, 0), (4, 1), (6, 1), (7, 2), (8, 3), (5, 1), (1, 0), (12, 1)], 1)]
+    assert checklist.display_order(df.limit(0)).count() == 0
+    moves = {(r.k, s): (r.new_sort, r.swap_k) for s in (-1, 1) for r in checklist.moved(spark.createDataFrame([(1, 9, 10), (2, 9, 20), (3, 8, 5)], "k long, parent long, sort long"), s).collect()}
+    assert moves == {(1, -1): (None, None), (1, 1): (20, 2), (2, -1): (10, 1), (2, 1): (None, None), (3, -1): (None, None), (3, 1): (None, None)}

@@ -36,3 +36,45 @@ def test_bucket_waits(spark):
             wait = max(wait, debt - most)
         assert got[i] == wait, i
     assert any(got.values())
+
+
+def loop_pages(batches, limit, overlap):
+    """What a reader of pages gets when the log grows batch by batch and it reads to the end after each."""
+    log, since, page, got, out = set(), 0, 0, set(), []
+    for batch in batches:
+        log.update(batch)
+        while True:
+            part = sorted(x for x in log if x > since)[:limit]
+            new = [x for x in part if x not in got]
+            if not new:
+                break
+            page += 1
+            got.update(new)
+            out += [(page, x) for x in new]
+            since = max(since, part[-1] - overlap)
+    return out
+
+
+def test_pages_with_late_and_repeated_rows_and_a_restart(spark, tmp_path):
+    import time
+
+    rnd = random.Random(5)
+    logs = {}
+    for run in (1, 2):
+        order = sorted(range(1, 260), key=lambda x: x + rnd.choice((0, 0, 5, 30, 90)))  # some come later than the overlap reaches
+        logs[run] = [order[i : i + 60] + rnd.sample(order[: i + 1], min(i + 1, 9)) for i in range(0, len(order), 60)]
+    log, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
+    schema = "run long, seq long"
+    got = None
+    for n in range(len(logs[1])):
+        rows = [(run, x) for run in logs for x in logs[run][n]] + [(None, 1), (1, None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
+        time.sleep(0.05)
+        stream = feeds.paged(feeds.log_stream(spark, log, spark.createDataFrame([], schema).schema), "run", "seq", limit=40, overlap=20)
+        got = feeds.drain(stream, out, state)  # each batch a stream that starts anew from its state
+    missed = 0
+    for run in logs:
+        want = loop_pages(logs[run], 40, 20)
+        assert sorted((r.page, r.seq) for r in got.where(F.col("run") == run).collect()) == sorted(want)
+        missed += 259 - len(want)
+    assert missed > 0
