@@ -74,6 +74,36 @@ def stated_values(found: DataFrame, values: DataFrame) -> DataFrame:
     return agg.select("doc_id", "ordinal", "clause", F.lit("cross_reference").alias("check"), status.alias("status"), F.col("_c.rounded").alias("rounded"), F.col("_c.difference").alias("difference"))
 
 
+def dated_amounts(entries: DataFrame) -> DataFrame:
+    """What several places say of one item at one date: each statement against one other, with what it stands against and where.
+
+    ``entries``: doc_id, key (item and date), unit, ordinal, start, micro, display_unit. The
+    statements of a key fall into classes of equal value and precision; the leading class is
+    that of most statements, then the one stated first. A statement is held against the first
+    one of the leading class; that one itself against the last of its class or, where it is
+    alone, against the class that ranks last. So n statements give n rows, not n * (n - 1),
+    and every other value shows as a row. A key with one statement gives none; entries with
+    a null value or key take no part. Equal entries at one place count as often.
+    """
+    group, place = ["doc_id", "key", "unit"], F.struct("ordinal", "start")
+    known = entries.select(*group, "ordinal", "start", "micro", "display_unit").dropna()
+    classes = known.groupBy(*group, "micro", "display_unit").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    rank = F.struct((-F.col("n")).alias("n"), "first", "last", "micro", "display_unit")
+    of_key = classes.groupBy(*group).agg(F.min(rank).alias("lead"), F.max(rank).alias("tail"), F.count("*").alias("classes"), F.sum("n").alias("statements")).where("statements > 1")
+    both = known.join(of_key, group)
+    leads = (F.col("micro") == F.col("lead.micro")) & (F.col("display_unit") == F.col("lead.display_unit"))
+    heads = leads & (place == F.col("lead.first"))
+    alone = heads & (F.col("lead.n") == -1)
+    other = lambda field: F.when(alone, F.col("tail")[field]).otherwise(F.col("lead")[field])
+    at = F.when(heads & ~alone, F.col("lead.last")).otherwise(other("first"))
+    seen = both.withColumn("expected", other("micro")).withColumn("_unit", other("display_unit")).withColumn("_at", at)
+    signed = compared(F.col("micro"), F.col("display_unit"), F.col("expected"), F.col("_unit"))
+    size = compared(F.abs("micro"), F.col("display_unit"), F.abs("expected"), F.col("_unit"))
+    told = seen.withColumn("_c", signed).withColumn("_s", size)
+    code = F.when(F.col("_c.status") == "match", "reference_matches").when(F.col("_s.status") == "match", "reference_sign").otherwise("reference_differs")
+    return told.select(*group, "ordinal", "start", F.lit("cross_reference").alias("check"), F.col("_c.status").alias("status"), code.alias("code"), F.col("_c.rounded").alias("rounded"), F.col("_c.difference").alias("difference"), F.col("_at.ordinal").alias("other_ordinal"), F.col("_at.start").alias("other_start"), "classes", "statements")
+
+
 def masked(blocks: DataFrame) -> DataFrame:
     """Blocks with ``mask``: numbers as #, years kept, and ``years``."""
     schema = pa.schema([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("mask", pa.string()), ("years", pa.list_(pa.int32()))])

@@ -135,3 +135,25 @@ def f34_exact_arithmetic(spark, sf_dir):
         "l_orderkey", "l_linenumber", c["status"].alias("status"), c["difference"].cast("string").alias("difference"), exact.ratio_percent(F.col("a"), F.col("b")).cast("string").alias("ratio"),
         exact.round_to(F.col("a"), F.lit(1_000_000_000)).cast("string").alias("rounded"), exact.direction(F.col("a"), F.col("b")).alias("direction"),
     )
+
+
+J19_CLASSES = f"""
+WITH e AS (SELECT l_suppkey AS doc_id, year(l_shipdate) * 100 + month(l_shipdate) AS key, l_orderkey AS ordinal, l_linenumber AS start, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * ((l_quantity::BIGINT % 3) * 5 + l_linenumber % 2) AS v FROM lineitem),
+c AS (SELECT doc_id, key, v, count(*) AS n, min((ordinal, start)) AS f, max((ordinal, start)) AS l FROM e GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY n DESC, f, l, v) AS i, count(*) OVER (PARTITION BY doc_id, key) AS classes, (sum(n) OVER (PARTITION BY doc_id, key))::BIGINT AS statements FROM c),
+b AS (SELECT e.*, a.n, a.v AS lv, a.f AS lf, a.l AS ll, z.v AS zv, z.f AS zf, a.classes, a.statements, e.v = a.v AND (e.ordinal, e.start) = a.f AS heads FROM e JOIN r a ON a.doc_id = e.doc_id AND a.key = e.key AND a.i = 1 JOIN r z ON z.doc_id = e.doc_id AND z.key = e.key AND z.i = z.classes WHERE a.statements > 1),
+x AS (SELECT *, CASE WHEN heads AND n = 1 THEN zv ELSE lv END AS w, CASE WHEN heads AND n = 1 THEN zf WHEN heads THEN ll ELSE lf END AS o FROM b)
+SELECT doc_id, key::BIGINT AS key, ordinal, start, CASE WHEN abs(v - w) <= 1 THEN 'match' ELSE 'mismatch' END AS status, CASE WHEN abs(v - w) <= 1 THEN 'reference_matches' WHEN abs(abs(v) - abs(w)) <= 1 THEN 'reference_sign' ELSE 'reference_differs' END AS code,
+  v <> w AND abs(v - w) <= 1 AS rounded, ((v - w)::BIGINT * {UNIT})::VARCHAR AS difference, o[1] AS other_ordinal, o[2] AS other_start, classes, statements FROM x"""
+
+
+@query(J19_CLASSES)
+def j19_dated_amounts(spark, sf_dir):
+    """What several places say of one month: each against the leading value, by classes of equal values and not by pairs."""
+    from ..operators import prose
+
+    li = table(spark, sf_dir, "lineitem")
+    v = F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * (F.col("l_quantity").cast("long") % 3 * 5 + F.col("l_linenumber") % 2)
+    key = (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("long")
+    entries = li.select(F.col("l_suppkey").alias("doc_id"), key.alias("key"), F.lit("EUR").alias("unit"), F.col("l_orderkey").alias("ordinal"), F.col("l_linenumber").alias("start"), exact.whole(v * UNIT).alias("micro"), exact.whole(F.lit(UNIT)).alias("display_unit"))
+    return prose.dated_amounts(entries).select("doc_id", "key", "ordinal", "start", "status", "code", "rounded", F.col("difference").cast("string").alias("difference"), "other_ordinal", "other_start", "classes", "statements")

@@ -50,3 +50,18 @@ def test_prior_reports(spark):
     a = spark.createDataFrame([cell(1, "A. Kasse", "prior", 5), cell(2, "Bank:", "prior", -7), cell(3, "Rest", "prior", 1)], schema)
     b = spark.createDataFrame([cell(1, "Kasse", "current", 5), cell(2, "Bank", "current", 7), cell(3, "Rest", "current", 1), cell(4, "Rest", "current", 2)], schema)
     assert {r.row_no: r.status for r in op.prior_report(a, b).collect()} == {1: "match", 2: "mismatch"}
+
+
+def test_dated_amounts(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlight.operators import prose
+
+    rows = [(1, "Umsatz 30.06.", "EUR", n, 0, v) for n, v in enumerate((500, 700, 500, -500, 500, 501))] + [(1, "Umsatz 30.06.", "percent", 9, 0, 5), (1, "einmal", "EUR", 1, 0, 5), (1, "zwei", "EUR", 3, 2, 5), (1, "zwei", "EUR", 3, 7, 9), (1, None, "EUR", 1, 1, 1), (1, "zwei", "EUR", 3, 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, key string, unit string, ordinal long, start long, v long")
+    got = {(r.key, r.ordinal, r.start): (r.code, r.rounded, int(r.difference), r.other_ordinal, r.other_start) for r in prose.dated_amounts(df.withColumn("micro", F.col("v").cast("decimal(38,0)")).withColumn("display_unit", F.lit(1).cast("decimal(38,0)")).drop("v")).collect()}
+    u = "Umsatz 30.06."
+    assert got == {
+        (u, 0, 0): ("reference_matches", False, 0, 4, 0), (u, 1, 0): ("reference_differs", False, 200, 0, 0), (u, 2, 0): ("reference_matches", False, 0, 0, 0), (u, 3, 0): ("reference_sign", False, -1000, 0, 0),
+        (u, 4, 0): ("reference_matches", False, 0, 0, 0), (u, 5, 0): ("reference_matches", True, 1, 0, 0), ("zwei", 3, 2): ("reference_differs", False, -4, 3, 7), ("zwei", 3, 7): ("reference_differs", False, 4, 3, 2),
+    }
