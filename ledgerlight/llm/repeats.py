@@ -217,7 +217,6 @@ FOUND_COLUMNS = "kind int, anchor long, id long, tie long, at int, size int"
 
 def _dealt(rows: DataFrame, most: int, length: int, gram: int) -> DataFrame:
     """SENT rows, those of an anchor together and in order -> FOUND, in one pass; holds the different surroundings of one anchor, ``most`` of them at most."""
-    whole = 2 * length - gram
 
     def heads(held, kind):
         i, t, at = zip(*held)
@@ -242,7 +241,8 @@ def _dealt(rows: DataFrame, most: int, length: int, gram: int) -> DataFrame:
             head, place = np.flatnonzero(new), np.cumsum(new) - 1  # place -1: goes on from the last batch
             own = [np.where(place < 0, first[k] if first else 0, x[head][place] if len(head) else 0) for k, x in enumerate((i, t, at))]
             copy = np.flatnonzero(~new & ((i != own[0]) | (t != own[1]) | (at != own[2])))
-            out = [(np.zeros(len(copy)), a[copy], i[copy], t[copy], np.maximum(0, at[copy] + gram - length), np.full(len(copy), whole))]
+            begin = np.maximum(0, at[copy] + gram - length)  # a text's beginning cuts surroundings short
+            out = [(np.zeros(len(copy)), a[copy], i[copy], t[copy], begin, at[copy] + length - begin)]
 
             def tell(held, kind, key):
                 if held:

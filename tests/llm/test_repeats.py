@@ -103,3 +103,12 @@ def test_crowded_anchors(spark, monkeypatch):
     check(spark, rows, most=10)
     found = repeats.crowded(spark.createDataFrame([(i, 0, t) for i, t in rows], "id long, tie long, text string"), 100, 32, 10)
     assert 0 < len(found) <= 50
+
+
+def test_copies_at_a_texts_beginning_in_different_tasks(spark):
+    """Surroundings that a text's beginning cuts short: what is marked ends where they end."""
+    rnd = random.Random(10)
+    word = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    shared = [word(rnd.randint(100, 170), "abcdefghij") for _ in range(30)]
+    rows = [(i, shared[i % 30] + word(120, "klmnopqrst")) for i in range(90)]
+    check(spark, rows)
