@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +17,10 @@ from ..functions.exact import compared, ratio_percent, whole
 from ..functions.lineitems import item_of_label, kind_of_item
 
 PLACE = ("doc_id", "table_no", "row_no", "column_no")
+_D = pa.decimal128(38, 0)
+_SUMS = pa.schema(
+    [("doc_id", pa.int64()), *((c, pa.int32()) for c in PLACE[1:]), ("check", pa.string()), ("status", pa.string()), ("actual", _D), ("expected", _D), ("tolerance", _D), ("rounded", pa.bool_())]
+)
 #: Words of a column that counts or measures something else than money. Fixed values.
 NO_MONEY = "Nutzungsdauer|in Jahren|\\bJahre\\b|Anzahl|Stück|Mitarbeiter|Personen|Laufzeit in"
 #: Checks that are not told while they are uncertain. Fixed values.
@@ -141,32 +145,41 @@ def table_sums(cells: DataFrame, total: str = r"(?i)^(?:summe|gesamt|total|insge
 
     is_total = re.compile(total)
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for column, rows in t.sort_values(["column_no", "row_no"]).groupby("column_no", sort=True):
-            stack: list[tuple[int, int]] = []
-            for r in rows.itertuples():
-                value, unit, labelled = int(r.micro), int(r.display_unit), bool(is_total.search(r.label or ""))
-                hit = None
-                for n in range(2, min(12, len(stack)) + 1):
-                    run = stack[-n:]
-                    most = max([unit, *(u for v, u in run if v)]) * max(1, sum(1 for v, _ in run if v))
-                    if abs(value - sum(v for v, _ in run)) <= (most if labelled else 0):
-                        hit = n, sum(v for v, _ in run), most
-                        break
-                if hit or labelled and stack:
-                    n, expected, most = hit or (len(stack), sum(v for v, _ in stack), max([unit, *(u for _, u in stack)]) * len(stack))
+    def taken(stack: list[tuple[int, int]], value: int, unit: int, labelled: bool):
+        """(rows, their sum, tolerance) of the run on top that gives the value, else of all for a total; null for none."""
+        run, top, terms = 0, unit, 0
+        for n, (v, u) in enumerate(reversed(stack[-12:]), 1):
+            run += v
+            if v:
+                top, terms = max(top, u), terms + 1
+            if n > 1 and abs(value - run) <= (top * max(1, terms) if labelled else 0):
+                return n, run, top * max(1, terms)
+        if labelled and stack:
+            return len(stack), sum(v for v, _ in stack), max([unit, *(u for _, u in stack)]) * len(stack)
+        return None
+
+    def run(batches):
+        last, stack = None, []  # of the column that goes on
+        for b in batches:
+            out = []
+            for doc, table, column, row, label, micro, display_unit in zip(*(c.to_pylist() for c in b.columns)):
+                if last != (doc, table, column):
+                    last, stack = (doc, table, column), []
+                value, unit = int(micro), int(display_unit)
+                hit = taken(stack, value, unit, bool(is_total.search(label or "")))
+                if hit:
+                    n, expected, most = hit
                     match = abs(value - expected) <= most
-                    out.append((r.doc_id, r.table_no, r.row_no, column, "table_sum", "match" if match else "mismatch", Decimal(value), Decimal(expected), Decimal(most), match and value != expected))
+                    out.append((doc, table, row, column, "table_sum", "match" if match else "mismatch", Decimal(value), Decimal(expected), Decimal(most), match and value != expected))
                     del stack[-n:]
                 stack.append((value, unit))
-        return pd.DataFrame(out, columns=[*PLACE, "check", "status", "actual", "expected", "tolerance", "rounded"])
+            columns = list(zip(*out)) or [[] for _ in _SUMS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUMS)], schema=_SUMS)
 
-    kept = cells.where("kind = 'amount' AND micro IS NOT NULL").select(*PLACE, "label", "micro", "display_unit")
+    kept = cells.where("kind = 'amount' AND micro IS NOT NULL AND column_no IS NOT NULL").selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(table_no AS INT) AS table_no", "CAST(column_no AS INT) AS column_no", "CAST(row_no AS INT) AS row_no", "label", "micro", "display_unit")
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables stay spread: the work is Python's, not the bytes'
-    return kept.repartition(parts, "doc_id", "table_no").groupBy("doc_id", "table_no").applyInPandas(
-        one, "doc_id long, table_no int, row_no int, column_no int, check string, status string, actual decimal(38,0), expected decimal(38,0), tolerance decimal(38,0), rounded boolean"
-    )
+    ordered = kept.repartition(parts, "doc_id", "table_no").sortWithinPartitions("doc_id", "table_no", "column_no", "row_no")
+    return ordered.mapInArrow(run, "doc_id long, table_no int, row_no int, column_no int, check string, status string, actual decimal(38,0), expected decimal(38,0), tolerance decimal(38,0), rounded boolean")
 
 
 def composed(families: list[DataFrame], subject: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import pytest
 from oracle import compare
 
+from ledgerlight.operators import checks
 from ledgerlight.plans import registry, reports
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +31,18 @@ def test_orders_with_a_line_number_twice(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_sentences_of_a_small_file_are_dealt_over_all_tasks(spark):
     assert reports.sentences(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_sums_of_tables_over_several_batches(spark):
+    rows = [(d, 1, r, c, "Summe" if r == 9 else None, "amount", 100 * (d + c) * 4**r if r < 9 else 100 * (d + c) * sum(4**x for x in range(9)) + d % 2 * 99, 1) for d in range(30) for c in (1, 2) for r in range(10)]
+    cells = spark.createDataFrame(rows, "doc_id long, table_no int, row_no int, column_no int, label string, kind string, micro long, display_unit long")
+    cells = cells.selectExpr("* EXCEPT (micro, display_unit)", "CAST(micro AS DECIMAL(38,0)) AS micro", "CAST(display_unit AS DECIMAL(38,0)) AS display_unit")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        sums = checks.table_sums(cells)
+        assert "InPandas" not in sums._jdf.queryExecution().toString()  # no frame of its own for each table
+        got = {(r.doc_id, r.row_no, r.column_no): (r.status, int(r.actual - r.expected), int(r.tolerance)) for r in sums.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(d, 9, c): ("mismatch" if d % 2 else "match", d % 2 * 99, 9) for d in range(30) for c in (1, 2)}
