@@ -90,10 +90,10 @@ def resolved(found: DataFrame) -> DataFrame:
 def cross_references(cells: DataFrame) -> DataFrame:
     """Every further mention of an item against its reference; expenses by magnitude."""
     f = facts(cells)
-    both = f.join(resolved(f), ["doc_id", "item", "item_kind", "period"]).where("NOT (table_no = ref_table AND row_no = ref_row AND column_no = ref_column)")
+    both = f.join(resolved(f).hint("merge"), ["doc_id", "item", "item_kind", "period"]).where("NOT (table_no = ref_table AND row_no = ref_row AND column_no = ref_column)")
     size = lambda c: F.when(F.col("item_kind") == "expense", F.abs(F.col(c))).otherwise(F.col(c))
     kind = F.when(F.col("period") == "prior", "prior_year").otherwise("cross_reference")
-    return judged(both, "cross_reference", size("micro"), F.col("display_unit"), size("ref_micro"), F.col("ref_unit")).join(both.select(*PLACE, kind.alias("_kind")), list(PLACE)).withColumn("check", F.col("_kind")).drop("_kind")
+    return judged(both, "cross_reference", size("micro"), F.col("display_unit"), size("ref_micro"), F.col("ref_unit")).join(both.select(*PLACE, kind.alias("_kind")).hint("merge"), list(PLACE)).withColumn("check", F.col("_kind")).drop("_kind")
 
 
 def derived(values: DataFrame) -> DataFrame:
@@ -119,10 +119,14 @@ def derived(values: DataFrame) -> DataFrame:
 
 
 def derived_checks(cells: DataFrame) -> DataFrame:
-    """Rows of items that a formula gives against the formula, with tolerance for two terms."""
+    """Rows of items that a formula gives against the formula, with tolerance for two terms.
+
+    Both sides have rows for each document: they are merged, since a plan takes them for as
+    small as the file that they are made from and would send one side through the driver.
+    """
     f = facts(cells)
     made = derived(resolved(f)).select("doc_id", "period", "item", F.col("micro").alias("expected"), F.col("display_unit").alias("unit"))
-    return judged(f.join(made, ["doc_id", "period", "item"]), "derived", F.col("micro"), F.col("display_unit"), F.col("expected"), F.col("unit"), 2)
+    return judged(f.join(made.hint("merge"), ["doc_id", "period", "item"]), "derived", F.col("micro"), F.col("display_unit"), F.col("expected"), F.col("unit"), 2)
 
 
 def evidence(cells: DataFrame, accounts: DataFrame) -> DataFrame:

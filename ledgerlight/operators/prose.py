@@ -132,5 +132,5 @@ def prior_report(cells: DataFrame, prior_cells: DataFrame) -> DataFrame:
 
     label = F.lower(bare_label(F.col("label")))
     was = prior_cells.where("kind = 'amount' AND period = 'current'").withColumn("_l", label).groupBy("doc_id", "_l").agg(F.min("micro").alias("was"), F.max("micro").alias("_hi"), F.max("display_unit").alias("was_unit")).where("was = _hi").drop("_hi")
-    both = cells.where("kind = 'amount' AND period = 'prior'").withColumn("_l", label).join(was, ["doc_id", "_l"])
+    both = cells.where("kind = 'amount' AND period = 'prior'").withColumn("_l", label).join(was.hint("merge"), ["doc_id", "_l"])
     return judged(both, "prior_report", F.col("micro"), F.col("display_unit"), F.col("was"), F.col("was_unit"))

@@ -46,3 +46,11 @@ def test_sums_of_tables_over_several_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {(d, 9, c): ("mismatch" if d % 2 else "match", d % 2 * 99, 9) for d in range(30) for c in (1, 2)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["d16_cross_references", "d17_derived_checks", "d23_prior_report"])
+def test_rows_of_all_documents_are_not_sent_through_the_driver(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in joins if "doc_id" in line], joins
