@@ -35,22 +35,27 @@ FORMULAS = (
 #: A share of two rounded amounts is exact to its last place.
 SHARE_UNIT, WHOLE = 10_000, "bilanzsumme"
 # Fixed values end here.
+#: Partitions for each of the session's, so that each is sorted in memory.
+SPREAD = 4
 
 _COLUMNS = "doc_id", "table_no", "column_no"
 
 
-def _counting_columns(figures: DataFrame, groups: DataFrame) -> DataFrame:
-    """(doc_id, table_no, column_no) of columns that do not show an item: parts of a breakdown such as regions, all but its total.
+def _counting(rows: DataFrame) -> DataFrame:
+    """``rows`` without the columns that do not show an item: parts of a breakdown such as regions, all but its total.
 
     A table is broken down if two columns of one period belong to different groups that are
-    more than a unit or a date; without a total group none of its columns counts.
+    more than a unit or a date; without a total group none of its columns counts. ``_group``
+    stands in rows of ``groups``, ``_figure`` is true in those of figures.
     """
-    columns = figures.where("column_no IS NOT NULL").groupBy(*_COLUMNS).agg(F.first("column_period", ignorenulls=True).alias("period"), F.bool_or(F.col("change") | F.col("percent")).alias("other"))
-    named = columns.join(groups.select(*_COLUMNS, F.trim("group").alias("group")), list(_COLUMNS), "left").withColumn("group", F.coalesce("group", F.lit("")))
-    parts = (F.col("group") != "") & ~F.col("group").rlike(UNIT_GROUP) & F.col("period").isNotNull() & ~F.col("other")
-    broken = named.where(parts).groupBy(*TABLE, "period").agg((F.min("group") != F.max("group")).alias("broken")).groupBy(*TABLE).agg(F.bool_or("broken").alias("broken")).where("broken")
-    total = named.where(F.col("group").rlike(TOTAL_GROUP)).groupBy(*TABLE).agg(F.min_by("group", "column_no").alias("total"))
-    return named.join(broken.join(total, list(TABLE), "left"), list(TABLE)).where("NOT group <=> total").select(*_COLUMNS)
+    column, period, table = Window.partitionBy(*_COLUMNS), Window.partitionBy(*TABLE, "_period"), Window.partitionBy(*TABLE)
+    rows = rows.withColumns({"_period": F.min("column_period").over(column), "_other": F.bool_or(F.col("change") | F.col("percent")).over(column), "_some": F.bool_or("_figure").over(column), "_group": F.max("_group").over(column)})
+    group = F.coalesce(F.col("_group"), F.lit(""))
+    part = F.when((group != "") & ~group.rlike(UNIT_GROUP) & F.col("_period").isNotNull() & ~F.col("_other"), group)
+    rows = rows.withColumn("_part", part).withColumn("_several", F.min("_part").over(period) != F.max("_part").over(period))
+    total = F.min(F.when(F.col("_some") & group.rlike(TOTAL_GROUP), F.struct("column_no", group.alias("g")))).over(table)
+    rows = rows.withColumns({"_broken": F.coalesce(F.bool_or("_several").over(table), F.lit(False)), "_total": total["g"]})
+    return rows.where(~F.col("_broken") | ~F.coalesce(F.col("_figure"), F.lit(False)) | group.eqNullSafe(F.col("_total"))).drop("_period", "_other", "_some", "_part", "_several", "_broken", "_total")
 
 
 def build(figures: DataFrame, captions: DataFrame | None = None, groups: DataFrame | None = None, sums: DataFrame | None = None) -> DataFrame:
@@ -64,25 +69,38 @@ def build(figures: DataFrame, captions: DataFrame | None = None, groups: DataFra
     Columns: PLACE, key (the item, else ``label:`` and the label in lower case), item, item_kind,
     label, via_caption (a sum row that shows the item of its table's caption), relabelled,
     confirmed, terms, alternate, level, period, figure_period, micro, display_unit, unit.
+
+    All four tables go together as rows of one, dealt by document once, and find each other by
+    windows; the result stays dealt so. Only labels and captions are joined
+    to the catalogue's table of wordings, which is written before, so that its size is known.
+    ``figures`` and ``sums`` are read for their labels, too.
     """
-    rows = figures.where("micro IS NOT NULL AND NOT coalesce(issue, false) AND amount AND NOT change AND NOT davon AND unit IN ('EUR', 'percent')")
-    rows = rows.withColumns({"figure_period": F.col("period"), "period": F.coalesce("period", "column_period")}).where("period IN ('current', 'prior')")
-    rows = rows.select(*PLACE, "label", "alternate", "level", "period", "figure_period", "micro", "display_unit", "unit")
+    fact = F.expr("micro IS NOT NULL AND NOT coalesce(issue, false) AND amount AND NOT change AND NOT davon AND unit IN ('EUR', 'percent') AND coalesce(period, column_period) IN ('current', 'prior')")
+    keep = fact if groups is None else fact | F.col("column_no").isNotNull()
+    rows = figures.where(keep).select(*PLACE, "label", "alternate", "level", F.coalesce("period", "column_period").alias("period"), F.col("period").alias("figure_period"), "column_period", "change", "percent", "micro", "display_unit", "unit", F.coalesce(fact, F.lit(False)).alias("_fact"), F.lit(True).alias("_figure"))
+    labels = rows.where("_fact").select("label")
     if groups is not None:
-        rows = rows.join(_counting_columns(figures, groups), list(_COLUMNS), "left_anti")
-    if sums is None:
-        rows = rows.withColumns({"relabelled": F.lit(False), "confirmed": F.lit(False), "terms": F.lit(1)})
-    else:
+        rows = rows.unionByName(groups.dropna(subset=list(_COLUMNS)).select(*_COLUMNS, F.trim("group").alias("_group")), allowMissingColumns=True)
+    if sums is not None:
         terms = F.greatest(F.lit(1), F.length(F.regexp_replace("parts", "[^+-]", "")))
-        told = sums.groupBy(*PLACE).agg(F.max(F.when(F.col("status") == "match", terms)).alias("_terms"), F.max_by("label", F.col("relabelled").cast("int")).alias("_label"), F.bool_or("relabelled").alias("_re"))
-        rows = rows.join(told, list(PLACE), "left").withColumns({"label": F.when(F.col("_re"), F.col("_label")).otherwise(F.col("label")), "relabelled": F.coalesce("_re", F.lit(False)), "confirmed": F.col("_terms").isNotNull(), "terms": F.coalesce("_terms", F.lit(1))}).drop("_terms", "_label", "_re")
-    if captions is None:
-        rows = rows.withColumn("_caption", F.lit(None).cast("string"))
-    else:
-        about = captions.select("caption").distinct().withColumn("_caption", item_of_caption(F.col("caption"))).where("_caption IS NOT NULL")
-        rows = rows.join(captions.join(about, "caption").select(*TABLE, "_caption"), list(TABLE), "left")
-    rows = settled(rows)  # read for its labels, too
-    kinds = rows.select("label").distinct().withColumn("_item", item_of_label(F.col("label")))  # the catalogue looks at each wording once, of captions too
+        rows = rows.unionByName(sums.dropna(subset=list(PLACE)).select(*PLACE, F.when(F.col("status") == "match", terms).alias("_terms"), F.when(F.col("relabelled"), F.col("label")).alias("_label"), F.col("relabelled").alias("_re")), allowMissingColumns=True)
+        labels = labels.unionByName(sums.where("relabelled").select("label"))
+    if captions is not None:
+        about = settled(captions.select("caption").distinct().withColumn("_caption", item_of_caption(F.col("caption"))).where("_caption IS NOT NULL"))
+        rows = rows.unionByName(captions.dropna(subset=list(TABLE)).join(about, "caption", "left").select(*TABLE, "_caption"), allowMissingColumns=True)
+    none = {"_group": "string", "_terms": "int", "_label": "string", "_re": "boolean", "_caption": "string"}
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in none.items() if c not in rows.columns})
+    rows = rows.repartition(SPREAD * int(figures.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    if groups is not None:
+        rows = _counting(rows)
+    if captions is not None:
+        rows = rows.withColumn("_caption", F.max("_caption").over(Window.partitionBy(*TABLE)))
+    rows = rows.where("_fact OR _re IS NOT NULL OR _terms IS NOT NULL")
+    if sums is not None:
+        place = Window.partitionBy(*PLACE)
+        rows = rows.withColumns({"_terms": F.max("_terms").over(place), "_label": F.max("_label").over(place), "_re": F.bool_or("_re").over(place)})
+    rows = rows.where("_fact").withColumns({"label": F.when(F.col("_re"), F.col("_label")).otherwise(F.col("label")), "relabelled": F.coalesce("_re", F.lit(False)), "confirmed": F.col("_terms").isNotNull(), "terms": F.coalesce("_terms", F.lit(1))})
+    kinds = settled(labels.distinct().withColumn("_item", item_of_label(F.col("label"))))  # the catalogue looks at each wording once, of captions too
     total = F.coalesce(F.col("label").rlike(SUM_ROW), F.lit(False))
     item = F.when(total, F.col("_caption")).otherwise(F.col("_item"))
     return rows.join(kinds, "label", "left").select(
@@ -163,20 +181,23 @@ def evaluated(values: DataFrame, formulas=FORMULAS) -> DataFrame:
 
 def shares(values: DataFrame, formulas=FORMULAS) -> DataFrame:
     """Every item's share in the balance sheet total: doc_id, period, key (``share:`` and the item), micro (micro per cent), display_unit."""
-    values = settled(values)
-    total = values.where((F.col("key") == WHOLE) & ~F.col("alternate_only")).select("doc_id", "period", F.col("micro").alias("_total"))
-    tables = values.where("item_kind IS NOT NULL AND NOT alternate_only").select("doc_id", "period", "key", "micro")
+    whole_amount = F.max(F.when((F.col("key") == WHOLE) & ~F.col("alternate_only"), F.col("micro"))).over(Window.partitionBy("doc_id", "period"))
+    values = values.withColumn("_total", whole_amount).where("item_kind IS NOT NULL AND _total IS NOT NULL")
+    values = settled(values.select("doc_id", "period", "key", "micro", "display_unit", "alternate_only", "_total"))
+    total = values.where((F.col("key") == WHOLE) & ~F.col("alternate_only")).select("doc_id", "period", "_total")
+    tables = values.where("NOT alternate_only").select("doc_id", "period", "key", "micro", "_total")
     made = evaluated(values, [f for f in formulas if f[1] != "share"]).where("NOT from_tables").select("doc_id", "period", "key", "micro")
     ratio = ratio_percent(F.col("micro"), F.col("_total"))
-    return tables.unionByName(made).join(total, ["doc_id", "period"]).select("doc_id", "period", F.concat(F.lit("share:"), "key").alias("key"), ratio.alias("micro"), whole(F.lit(SHARE_UNIT)).alias("display_unit")).where("micro IS NOT NULL")
+    return tables.unionByName(made.join(total, ["doc_id", "period"])).select("doc_id", "period", F.concat(F.lit("share:"), "key").alias("key"), ratio.alias("micro"), whole(F.lit(SHARE_UNIT)).alias("display_unit")).where("micro IS NOT NULL")
 
 
 def derived_rows(facts: DataFrame, formulas=FORMULAS) -> DataFrame:
     """Rows of items that a formula gives against the formula: PLACE, check, status, actual, expected, tolerance, rounded."""
     money = [f[0] for f in formulas if f[1] != "share"]
-    facts = settled(facts)
+    operands = {x for f in formulas for x in (f[0], *f[2:])}
+    facts = settled(facts.where(F.col("key").isin(sorted(operands)) & (F.col("unit") == "EUR")))
     made = evaluated(resolved(facts), formulas).where(F.col("key").isin(money)).select("doc_id", "period", "key", F.col("micro").alias("_expected"), F.col("display_unit").alias("_unit"))
-    both = facts.where(F.col("key").isin(money) & (F.col("unit") == "EUR")).join(made, list(VALUE)).withColumn("_c", compared(F.col("micro"), F.col("display_unit"), F.col("_expected"), F.col("_unit"), 2))
+    both = facts.where(F.col("key").isin(money)).join(made, list(VALUE)).withColumn("_c", compared(F.col("micro"), F.col("display_unit"), F.col("_expected"), F.col("_unit"), 2))
     return both.select(*PLACE, F.lit("derived").alias("check"), F.col("_c.status").alias("status"), F.col("micro").alias("actual"), F.col("_expected").alias("expected"), F.col("_c.tolerance").alias("tolerance"), F.col("_c.rounded").alias("rounded"))
 
 
@@ -226,12 +247,12 @@ def references(facts: DataFrame, figures: DataFrame) -> DataFrame:
     tolerance, rounded, ref_table, ref_row, ref_column.
     """
     group = ["doc_id", "item", "period"]
-    f = settled(facts.where("item IS NOT NULL AND unit = 'EUR'"))
+    f = facts.where("item IS NOT NULL AND unit = 'EUR'")
     order = F.struct("alternate", "relabelled", (~F.col("confirmed")).alias("unsure"), "display_unit", "table_no", "row_no", "column_no")
     kept = ("table_no", "row_no", "column_no", "micro", "display_unit", "terms", "alternate", "relabelled", "via_caption", "figure_period")
-    best = f.groupBy(*group).agg(F.min_by(F.struct(*kept), order).alias("r"))
+    best = F.min_by(F.struct(*kept), order).over(Window.partitionBy(*group))
     left, right = _size("micro"), _size(F.col("r.micro"))
-    both = f.join(best, group).where("table_no <> r.table_no").withColumn("_c", compared(left, F.col("display_unit"), right, F.col("r.display_unit"), F.greatest("terms", "r.terms")))
+    both = f.withColumn("r", best).where("table_no <> r.table_no").withColumn("_c", compared(left, F.col("display_unit"), right, F.col("r.display_unit"), F.greatest("terms", "r.terms")))
     match = F.col("_c.status") == "match"
     sign = (F.col("item_kind") != "expense") & (compared(F.abs("micro"), F.col("display_unit"), F.abs("r.micro"), F.col("r.display_unit"))["status"] == "match")
     other, inferred = F.col("alternate") | F.col("r.alternate"), F.col("relabelled") | F.col("r.relabelled")

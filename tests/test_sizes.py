@@ -3,7 +3,7 @@
 import contextlib
 import re
 
-from ledgerlight.operators import retrieval
+from ledgerlight.operators import facts, retrieval
 
 
 @contextlib.contextmanager
@@ -29,3 +29,22 @@ def test_evidence_deals_blocks_once(spark):
         assert len(dealt(df)) == 1
         got = {(r.doc_id, r.req_id, r.ordinal): (r.role, r.matched_terms) for r in df.collect()}
     assert got[2, 7, 1] == ("match", "apple red sweet")
+
+
+def test_facts_deal_rows_once(spark):
+    figure = "doc_id long, table_no int, row_no int, column_no int, label string, alternate boolean, level int, period string, column_period string, micro decimal(38,0), display_unit decimal(38,0), unit string, issue boolean, amount boolean, change boolean, percent boolean, davon boolean"
+    row = lambda r, c, label, v: (1, 1, r, c, label, False, None, "current", "current", v, 1, "EUR", False, True, False, False, False)
+    rows = [row(0, 1, "Bilanzsumme", 90), row(0, 2, "Bilanzsumme", 100), row(1, 1, "Eigenkapital", 30), row(1, 2, "Eigenkapital", 40), row(2, 2, "Summe", 40)]
+    deal = lambda data, schema: spark.createDataFrame(data, schema)
+    figures = deal(rows, figure.replace("decimal(38,0)", "long"))
+    figures = figures.withColumns({c: figures[c].cast("decimal(38,0)") for c in ("micro", "display_unit")})
+    groups = deal([(1, 1, 1, "Inland"), (1, 1, 2, "Gesamt")], "doc_id long, table_no int, column_no int, `group` string")
+    captions = deal([(1, 1, "Entwicklung des Eigenkapitals")], "doc_id long, table_no int, caption string")
+    sums = deal([(1, 1, 2, 2, "match", "+0+1", "Summe", False)], "doc_id long, table_no int, row_no int, column_no int, status string, parts string, label string, relabelled boolean")
+    built = facts.build(figures, captions, groups, sums)
+    with large(spark):
+        keys = dealt(facts.build(figures, captions, groups, sums))
+    assert len(keys) == 1 and re.fullmatch(r"doc_id#\d+L?, \d+", keys[0])
+    got = {(r.row_no, r.column_no): (r.key, r.via_caption, r.confirmed, r.terms) for r in built.collect()}
+    assert got == {(0, 2): ("bilanzsumme", False, False, 1), (1, 2): ("eigenkapital", False, False, 1), (2, 2): ("eigenkapital", True, True, 2)}
+
