@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ LABEL, AMOUNT = "(?iu)^(?:seite|page)n?$", "(?:EUR|€|%)"
 PAGE, APPENDIX = "^PDF-Seite (\\d+)$", "(?u)^(?:Anlage|Beilage)\\b"
 NUMBER = "^[-–(]?\\d[\\d.,]*\\)?%?$"
 
+_number = re.compile(NUMBER)
+
 
 def context(blocks: DataFrame) -> DataFrame:
     """Blocks with ``page``, ``section_mark`` (the last heading, reset by an appendix) and ``heading``: filled forward in order."""
@@ -81,50 +85,75 @@ def margins(lines: DataFrame, edge: int = 2) -> DataFrame:
     return found.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(3), F.ceil(F.col("pages") * 0.25))).select("doc_id", "text")
 
 
+CELLS = "doc_id long, page int, table_no int, row_no int, column_no int, text string"
+
+
+def _page_cells(page: tuple, items: list[tuple], gap: float) -> list[tuple]:
+    """Cells of one page's items (text, x, y, width, height), which come from the top down, then from the left."""
+    rows: list[tuple] = []
+    lines: list[list[tuple]] = []
+    for text, x, y, width, height in items:
+        piece = text.strip(), x + width, _number.match(text.strip()) is not None
+        if lines and abs(top - y) < max(height, 1.0) / 2:
+            lines[-1].append(piece)
+        else:
+            lines.append([piece])
+            top = y
+    table, group, waiting = 0, [], None
+    for line in [*lines, None]:
+        if line is not None and any(n for _, _, n in line):
+            group.append((waiting, line))
+            waiting = None
+            continue
+        if len(group) >= 2:
+            edges: list[list[float]] = []
+            for e in sorted(right for _, cells in group for _, right, n in cells if n):
+                if edges and e - edges[-1][-1] <= gap:
+                    edges[-1].append(e)
+                else:
+                    edges.append([e])
+            for r, (above, cells) in enumerate(group):
+                rows.append((*page, table, r, 0, " ".join([t for t, _, _ in above or ()] + [t for t, _, n in cells if not n])))
+                rows += [(*page, table, r, next(k for k, e in enumerate(edges, 1) if e[0] <= right <= e[-1]), t) for t, right, n in cells if n]
+            table += 1
+        group, waiting = [], line
+    return rows
+
+
 def page_tables(items: DataFrame, gap: float = 12.0) -> DataFrame:
     """Cells (doc_id, page, table_no, row_no, column_no, text) of positioned text that stands in columns.
 
     One page at a time: items of one baseline are a line; lines with two or more numbers in
     a row are a table; number columns are clusters of right edges; what stands left of the
-    first is the label, joined with a label line directly above that has no numbers.
+    first is the label, joined with a label line directly above that has no numbers. Items
+    without a text take no part; those at one place come in the order of their texts.
     """
-    import re
-
-    number = re.compile(NUMBER)
-    out = "doc_id long, page int, table_no int, row_no int, column_no int, text string"
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        p = p.sort_values(["y", "x"], ascending=[False, True])
-        lines: list[list] = []
-        for r in p.itertuples():
-            if lines and abs(lines[-1][0].y - r.y) < max(r.height, 1.0) / 2:
-                lines[-1].append(r)
-            else:
-                lines.append([r])
-        table, group, waiting = 0, [], None
-        for line in [*lines, None]:
-            numbers = [r for r in line or () if number.match(r.text.strip())]
-            if line is not None and numbers:
-                group.append((waiting, line, numbers))
-                waiting = None
-                continue
-            if len(group) >= 2:
-                edges: list[list[float]] = []
-                for e in sorted(r.x + r.width for _, _, ns in group for r in ns):
-                    if edges and e - edges[-1][-1] <= gap:
-                        edges[-1].append(e)
-                    else:
-                        edges.append([e])
-                for n, (above, cells, ns) in enumerate(group):
-                    label = " ".join(r.text.strip() for r in [*(above or ()), *cells] if r not in ns)
-                    rows.append((p["doc_id"].iat[0], p["page"].iat[0], table, n, 0, label))
-                    for r in ns:
-                        column = next(k for k, e in enumerate(edges, 1) if e[0] <= r.x + r.width <= e[-1])
-                        rows.append((p["doc_id"].iat[0], p["page"].iat[0], table, n, column, r.text.strip()))
-                table += 1
-            group, waiting = [], line
-        return pd.DataFrame(rows, columns=["doc_id", "page", "table_no", "row_no", "column_no", "text"])
-
+    schema = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("table_no", pa.int32()), ("row_no", pa.int32()), ("column_no", pa.int32()), ("text", pa.string())])
+
+    def run(batches):
+        """A pass over sorted items, which holds one page."""
+        page, held, rows = None, [], []
+
+        def taken(least: int):
+            while len(rows) > least:
+                part = rows[:5_000]
+                del rows[:5_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+        for b in batches:
+            for doc_id, at, *item in zip(*(c.to_pylist() for c in b.columns)):
+                if (doc_id, at) != page:
+                    if held:
+                        rows += _page_cells(page, held, gap)
+                    page, held = (doc_id, at), []
+                held.append(item)
+            yield from taken(5_000)
+        if held:
+            rows += _page_cells(page, held, gap)
+        yield from taken(0)
+
+    nan = F.lit(float("nan"))
+    named = items.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", *(F.coalesce(F.col(c).cast("double"), nan).alias(c) for c in ("x", "y", "width", "height")))
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small pages stay spread: the work is Python's, not the bytes'
-    return items.select("doc_id", "page", "text", "x", "y", "width", "height").repartition(parts, "doc_id", "page").groupBy("doc_id", "page").applyInPandas(one, out)
+    # places that are no numbers come last
+    return named.repartition(parts, "doc_id", "page").sortWithinPartitions("doc_id", "page", F.isnan("y"), F.desc("y"), "x", "text").mapInArrow(run, CELLS)

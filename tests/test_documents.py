@@ -46,3 +46,14 @@ def test_comments(spark):
     f = F.array(F.lit("f1"), F.lit("f2"))
     assert one(comments.calculation(F.lit("table_sum"), f, F.array(F.lit(1), F.lit(-1)), F.lit(None).cast("string"))) == ["f1", "− f2"]
     assert one(comments.calculation(F.lit("ratio"), f, none, F.lit("change"))) == ["f2", "− f1", "÷ f1", "× 100"]
+
+
+def test_page_tables_in_one_pass(spark):
+    item = lambda d, page, t, x, y: (d, page, t, float(x), float(y), 20.0, 10.0)
+    pages = [(d, page) for d in range(40) for page in range(1, 4)]
+    items = [item(d, p, t, x, y) for d, p in pages for t, x, y in ((f"Posten {d}", 10, 660), ("1", 200, 660), ("b", 10, 640), ("a", 10, 640), (str(p), 200, 640), (None, 90, 640))]
+    df = documents.page_tables(spark.createDataFrame(items, "doc_id long, page int, text string, x double, y double, width double, height double"))
+    assert "InPandas" not in df._jdf.queryExecution().executedPlan().toString()  # a frame for each page took longer than its cells
+    want = {(d, p, 0, r, c, t) for d, p in pages for r, c, t in ((0, 0, f"Posten {d}"), (0, 1, "1"), (1, 0, "a b"), (1, 1, str(p)))}
+    got = [tuple(r) for r in df.collect()]
+    assert set(got) == want and len(got) == len(want)
