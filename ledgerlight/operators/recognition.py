@@ -69,6 +69,7 @@ def statements(blocks: DataFrame) -> DataFrame:
 
 
 def report_year(blocks: DataFrame, first: int = 400) -> DataFrame:
-    """(doc_id, report_year): the year most often named in a document's first blocks, the later one at ties."""
-    named = years(blocks.where(F.col("ordinal") <= first)).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
-    return named.groupBy("doc_id").agg(F.max_by("value", F.struct("n", "value")).alias("report_year"))
+    """(doc_id, report_year, n_years): the year most often named in a document's first blocks, the later one at ties; with how many are named in all its blocks."""
+    named = years(blocks).groupBy("doc_id", "value").agg(F.count_if(F.col("ordinal") <= first).alias("n"), F.count("*").alias("_all"))
+    early = F.when(F.col("n") > 0, F.struct("n", "value"))
+    return named.groupBy("doc_id").agg(F.max(early)["value"].alias("report_year"), F.sum("_all").alias("n_years")).where("report_year IS NOT NULL")
