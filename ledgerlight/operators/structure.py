@@ -177,10 +177,10 @@ def line_blocks(lines: DataFrame) -> DataFrame:
     """Blocks of lines: a gap over one and a half heights, a list mark or a larger font begins a new one; large lines are headings."""
     from .readmodels import upper_median
 
-    median = lines.groupBy("doc_id").agg(upper_median("height").alias("usual"))
+    usual = upper_median("height").over(Window.partitionBy("doc_id"))
     w = Window.partitionBy("doc_id").orderBy("page", "line")
     large = F.col("height") >= 1.2 * F.col("usual")
-    own = lines.join(median, "doc_id").withColumn("large", large).withColumn("mark", F.col("text").rlike("^(?:[-–•▪]|\\d{1,2}[.)]|[a-z]\\))\\s"))
+    own = lines.select("doc_id", "page", "line", "text", "y", "height").where("doc_id IS NOT NULL").withColumn("usual", usual).withColumn("large", large).withColumn("mark", F.col("text").rlike("^(?:[-–•▪]|\\d{1,2}[.)]|[a-z]\\))\\s"))
     prev = lambda c: F.lag(c).over(w)
     new = prev("page").isNull() | (prev("page") != F.col("page")) | F.col("mark") | (prev("large") != F.col("large")) | (prev("y") - F.col("y") > 1.5 * F.greatest(F.col("height"), F.lit(1.0)))
     numbered = own.withColumn("_new", new.cast("int")).withColumn("ordinal", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
