@@ -77,12 +77,17 @@ def table_columns(cells: DataFrame) -> DataFrame:
 
 def margins(lines: DataFrame, edge: int = 2) -> DataFrame:
     """(doc_id, text) of lines that repeat at the top or bottom of pages: numbers masked, on a quarter of the pages and three at least."""
-    place = Window.partitionBy("doc_id", "page")
-    at = lines.withColumn("_up", F.row_number().over(place.orderBy("line"))).withColumn("_down", F.row_number().over(place.orderBy(F.desc("line"))))
+    place, document = Window.partitionBy("doc_id", "page"), Window.partitionBy("doc_id")
+    in_order = place.orderBy("line")
+    # one order of a document's lines tells both edges, its pages (each by its first line) and keys that a page repeats
+    at = lines.where("doc_id IS NOT NULL").select("doc_id", "page", "line", "text").withColumn("_up", F.row_number().over(in_order)).withColumn("_down", F.count("*").over(place) - F.col("_up") + 1)
+    at = at.withColumn("_pages", F.count_if((F.col("_up") == 1) & F.col("page").isNotNull()).over(document))
     key = F.regexp_replace(collapse(F.col("text")), "\\d+", "#")
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
-    found = at.where((F.col("_up") <= edge) | (F.col("_down") <= edge)).groupBy("doc_id", key.alias("text")).agg(F.count_distinct("page").alias("n"))
-    return found.join(pages, "doc_id").where(F.col("n") >= F.greatest(F.lit(3), F.ceil(F.col("pages") * 0.25))).select("doc_id", "text")
+    outer = at.where((F.col("_up") <= edge) | (F.col("_down") <= edge)).select("doc_id", "page", "line", "_pages", key.alias("text"))
+    again = F.array_contains(F.collect_list("text").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.col("text"))
+    fresh = outer.withColumn("_new", F.col("page").isNotNull() & ~F.coalesce(again, F.lit(False)))
+    found = fresh.groupBy("doc_id", "text").agg(F.count_if("_new").alias("n"), F.max("_pages").alias("pages"))
+    return found.where(F.col("n") >= F.greatest(F.lit(3), F.ceil(F.col("pages") * 0.25))).select("doc_id", "text")
 
 
 CELLS = "doc_id long, page int, table_no int, row_no int, column_no int, text string"

@@ -3,7 +3,7 @@
 import contextlib
 import re
 
-from ledgerlight.operators import facts, retrieval
+from ledgerlight.operators import documents, facts, recognition, retrieval, structure
 
 
 @contextlib.contextmanager
@@ -48,3 +48,31 @@ def test_facts_deal_rows_once(spark):
     got = {(r.row_no, r.column_no): (r.key, r.via_caption, r.confirmed, r.terms) for r in built.collect()}
     assert got == {(0, 2): ("bilanzsumme", False, False, 1), (1, 2): ("eigenkapital", False, False, 1), (2, 2): ("eigenkapital", True, True, 2)}
 
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_margins_order_lines_once(spark):
+    lines = [(1, p, n, t) for p in range(1, 6) for n, t in ((1, f"Seite {p}"), (2, "Seite  9"), (3, "x" * p), (4, "y" if p < 3 else "z" * p))]
+    lines += [(2, p, 1, "Seite 1") for p in (1, 1, 2)] + [(3, None, 1, "a")] * 3 + [(None, p, 1, "b") for p in range(1, 5)]
+    df = documents.margins(spark.createDataFrame(lines, "doc_id long, page int, line int, text string").repartition(3, "doc_id"))
+    with large(spark):
+        assert plan(df).count("Sort [") == 1 and "Join" not in plan(df)
+        assert [tuple(r) for r in df.collect()] == [(1, "Seite #")]  # on five pages, twice on each
+
+
+def test_line_blocks_look_at_lines_once(spark):
+    rows = [(d, 1, n, t, 700.0 - 12 * n, h) for d in (1, 2, None) for n, t, h in ((1, "Titel", 20.0), (2, "Eins", 10.0), (3, "- zwei", 10.0))]
+    df = structure.line_blocks(spark.createDataFrame(rows, "doc_id long, page int, line int, text string, y double, height double"))
+    with large(spark):
+        assert len(dealt(df)) == 1 and "Join" not in plan(df)
+        assert sorted((r.doc_id, r.kind, r.text) for r in df.collect()) == [(d, k, t) for d in (1, 2) for k, t in (("heading", "Titel"), ("list_item", "- zwei"), ("paragraph", "Eins"))]
+
+
+def test_years_are_read_once(spark):
+    rows = [(1, 1, "Im Jahr 2020 und 2021"), (1, 2, "2021"), (1, 500, "2019, 2019, 2019"), (2, 401, "2018"), (3, 1, "nichts")]
+    df = recognition.report_year(spark.createDataFrame(rows, "doc_id long, ordinal long, text string"))
+    assert plan(df).count("MapInArrow") == 1
+    assert [tuple(r) for r in df.collect()] == [(1, 2021, 6)]
