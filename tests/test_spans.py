@@ -52,3 +52,16 @@ def test_dates_years_statements():
     assert [y[3] for y in sp.years("Im Jahr 2018 galt Nr. 2013/34 und (EU) 2019/876, seit 1995, am 5. Mai 2017.")] == [2018, 1995, 2017]
     assert [s[3] for s in sp.statements("Die Kosten sanken, der Ertrag erhöhte sich; Zunahme (i.Vj. Abnahme) blieb unverändert.")] == ["down", "up", "flat"]
     assert sp.years("2018", "table_cell") == [] and sp.statements("Rückgang", "heading") == []
+
+
+def test_words_of_several_parts_are_one_token():
+    from ledgerlight.functions import spans
+
+    for words, kind in ((spans.UNITS, "unit"), (spans.PRIOR_WORDS, "prior"), ((*spans.UP, *spans.DOWN, *spans.FLAT), "change"), (spans.REFERENCE_WORDS, "reference")):
+        for w in words:
+            written = w.replace(" ", " \n").upper() if kind == "change" else w.replace(" ", "  ")
+            t = spans.tokens(f"x {written} y")[1]
+            assert (t.kind, t.text) == (kind, written), w
+    f = spans.figures("Der Umsatz betrug 5 Tsd. EUR", "paragraph", None, None, None)[0]
+    assert (f.micro, f.unit, f.scale) == (5_000_000_000, "EUR", 1_000)
+    assert [t.kind for t in spans.tokens("Erhöhungen Vorjahreswerte EURO Seitenzahl")] == ["word"] * 4
