@@ -37,11 +37,11 @@ def silent(status: Column, check: Column, code: Column) -> Column:
     return (status == "uncertain") & (check.isin(*SILENT_KINDS) | F.coalesce(code.isin(*SILENT_CODES), F.lit(False)))
 
 
-def judged(rows: DataFrame, check: str, actual: Column, unit: Column, expected: Column, expected_unit: Column, terms: Column | int = 1, certain: Column | None = None) -> DataFrame:
+def judged(rows: DataFrame, check: str | Column, actual: Column, unit: Column, expected: Column, expected_unit: Column, terms: Column | int = 1, certain: Column | None = None) -> DataFrame:
     """Rows as checks; a mismatch that is not certain is only uncertain."""
     c = rows.withColumn("_c", compared(actual, unit, expected, expected_unit, terms))
     status = F.col("_c.status") if certain is None else F.when((F.col("_c.status") == "mismatch") & ~certain, "uncertain").otherwise(F.col("_c.status"))
-    return c.select(*PLACE, F.lit(check).alias("check"), status.alias("status"), whole(actual).alias("actual"), whole(expected).alias("expected"), F.col("_c.tolerance").alias("tolerance"), F.col("_c.rounded").alias("rounded"))
+    return c.select(*PLACE, (F.lit(check) if isinstance(check, str) else check).alias("check"), status.alias("status"), whole(actual).alias("actual"), whole(expected).alias("expected"), F.col("_c.tolerance").alias("tolerance"), F.col("_c.rounded").alias("rounded"))
 
 
 def horizontal_sums(cells: DataFrame) -> DataFrame:
@@ -88,12 +88,15 @@ def resolved(found: DataFrame) -> DataFrame:
 
 
 def cross_references(cells: DataFrame) -> DataFrame:
-    """Every further mention of an item against its reference; expenses by magnitude."""
-    f = facts(cells)
-    both = f.join(resolved(f).hint("merge"), ["doc_id", "item", "item_kind", "period"]).where("NOT (table_no = ref_table AND row_no = ref_row AND column_no = ref_column)")
+    """Every further mention of an item against its reference; expenses by magnitude.
+
+    The reference comes from a window: rows stay as they are dealt by document.
+    """
+    best = F.min(F.struct("display_unit", *PLACE[1:], "micro")).over(Window.partitionBy("doc_id", "item", "item_kind", "period"))
+    both = facts(cells).withColumn("r", best).where("NOT (table_no = r.table_no AND row_no = r.row_no AND column_no = r.column_no)")
     size = lambda c: F.when(F.col("item_kind") == "expense", F.abs(F.col(c))).otherwise(F.col(c))
     kind = F.when(F.col("period") == "prior", "prior_year").otherwise("cross_reference")
-    return judged(both, "cross_reference", size("micro"), F.col("display_unit"), size("ref_micro"), F.col("ref_unit")).join(both.select(*PLACE, kind.alias("_kind")).hint("merge"), list(PLACE)).withColumn("check", F.col("_kind")).drop("_kind")
+    return judged(both, kind, size("micro"), F.col("display_unit"), size("r.micro"), F.col("r.display_unit"))
 
 
 def derived(values: DataFrame) -> DataFrame:
