@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prose
@@ -131,6 +131,10 @@ def prior_report(cells: DataFrame, prior_cells: DataFrame) -> DataFrame:
     from .checks import judged
 
     label = F.lower(bare_label(F.col("label")))
-    was = prior_cells.where("kind = 'amount' AND period = 'current'").withColumn("_l", label).groupBy("doc_id", "_l").agg(F.min("micro").alias("was"), F.max("micro").alias("_hi"), F.max("display_unit").alias("was_unit")).where("was = _hi").drop("_hi")
-    both = cells.where("kind = 'amount' AND period = 'prior'").withColumn("_l", label).join(was.hint("merge"), ["doc_id", "_l"])
+    was = prior_cells.where("kind = 'amount' AND period = 'current'").select("doc_id", label.alias("_l"), F.col("micro").alias("_was"), F.col("display_unit").alias("_was_unit"))
+    now = cells.where("kind = 'amount' AND period = 'prior'").withColumn("_l", label).withColumn("_now", F.lit(True))
+    every = now.unionByName(was, allowMissingColumns=True)
+    by_label = Window.partitionBy("doc_id", "_l")
+    every = every.withColumns({"was": F.min("_was").over(by_label), "_hi": F.max("_was").over(by_label), "was_unit": F.max("_was_unit").over(by_label)})
+    both = every.where("_now AND doc_id IS NOT NULL AND _l IS NOT NULL AND was = _hi")
     return judged(both, "prior_report", F.col("micro"), F.col("display_unit"), F.col("was"), F.col("was_unit"))
