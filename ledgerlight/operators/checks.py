@@ -7,8 +7,6 @@ column_no, check, status, actual, expected, tolerance, rounded, all amounts exac
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,9 +15,8 @@ from ..functions.exact import compared, ratio_percent, whole
 from ..functions.lineitems import item_of_label, kind_of_item
 
 PLACE = ("doc_id", "table_no", "row_no", "column_no")
-_D = pa.decimal128(38, 0)
 _SUMS = pa.schema(
-    [("doc_id", pa.int64()), *((c, pa.int32()) for c in PLACE[1:]), ("check", pa.string()), ("status", pa.string()), ("actual", _D), ("expected", _D), ("tolerance", _D), ("rounded", pa.bool_())]
+    [("doc_id", pa.int64()), *((c, pa.int32()) for c in PLACE[1:]), ("check", pa.string()), ("status", pa.string()), *((c, pa.string()) for c in ("actual", "expected", "tolerance")), ("rounded", pa.bool_())]
 )
 #: Words of a column that counts or measures something else than money. Fixed values.
 NO_MONEY = "Nutzungsdauer|in Jahren|\\bJahre\\b|Anzahl|Stück|Mitarbeiter|Personen|Laufzeit in"
@@ -147,10 +144,13 @@ def table_sums(cells: DataFrame, total: str = r"(?i)^(?:summe|gesamt|total|insge
     gives it, else all of them and is a mismatch; other rows that equal such a run within
     their own unit are subtotals found. A total stands for the rows that it took. The
     whole rules, with the tolerance of all terms, are those of ``tables.list_sums``.
+    ``micro`` and ``display_unit`` may be texts of whole numbers, for amounts that no
+    DECIMAL holds; the checks' amounts are texts then too.
     """
     import re
 
     is_total = re.compile(total)
+    as_text = dict(cells.dtypes)["micro"] == "string"
 
     def taken(stack: list[tuple[int, int]], value: int, unit: int, labelled: bool):
         """(rows, their sum, tolerance) of the run on top that gives the value, else of all for a total; null for none."""
@@ -177,16 +177,19 @@ def table_sums(cells: DataFrame, total: str = r"(?i)^(?:summe|gesamt|total|insge
                 if hit:
                     n, expected, most = hit
                     match = abs(value - expected) <= most
-                    out.append((doc, table, row, column, "table_sum", "match" if match else "mismatch", Decimal(value), Decimal(expected), Decimal(most), match and value != expected))
+                    out.append((doc, table, row, column, "table_sum", "match" if match else "mismatch", str(value), str(expected), str(most), match and value != expected))
                     del stack[-n:]
                 stack.append((value, unit))
             columns = list(zip(*out)) or [[] for _ in _SUMS]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUMS)], schema=_SUMS)
 
-    kept = cells.where("kind = 'amount' AND micro IS NOT NULL AND column_no IS NOT NULL").selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(table_no AS INT) AS table_no", "CAST(column_no AS INT) AS column_no", "CAST(row_no AS INT) AS row_no", "label", "micro", "display_unit")
+    kept = cells.where("kind = 'amount' AND micro IS NOT NULL AND column_no IS NOT NULL").selectExpr(
+        "CAST(doc_id AS LONG) AS doc_id", "CAST(table_no AS INT) AS table_no", "CAST(column_no AS INT) AS column_no", "CAST(row_no AS INT) AS row_no", "label", *(c if as_text else f"CAST(CAST({c} AS DECIMAL(38,0)) AS STRING) AS {c}" for c in ("micro", "display_unit"))
+    )
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables stay spread: the work is Python's, not the bytes'
     ordered = kept.repartition(parts, "doc_id", "table_no").sortWithinPartitions("doc_id", "table_no", "column_no", "row_no")
-    return ordered.mapInArrow(run, "doc_id long, table_no int, row_no int, column_no int, check string, status string, actual decimal(38,0), expected decimal(38,0), tolerance decimal(38,0), rounded boolean")
+    found = ordered.mapInArrow(run, "doc_id long, table_no int, row_no int, column_no int, check string, status string, actual string, expected string, tolerance string, rounded boolean")
+    return found if as_text else found.withColumns({c: whole(F.col(c)) for c in ("actual", "expected", "tolerance")})
 
 
 def composed(families: list[DataFrame], subject: list[str]) -> DataFrame:

@@ -54,3 +54,12 @@ def test_rows_of_all_documents_are_not_sent_through_the_driver(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert not [line for line in joins if "doc_id" in line], joins
+
+
+@pytest.mark.parametrize("lines", [19, 51, 130])
+def test_totals_of_orders_of_any_length(spark, tmp_path, lines):
+    sf = items(spark, tmp_path, [(k, n % 7, n, 2) for k in (1, 4, 9) for n in range(lines)])
+    total = 100 * (4 ** (lines + 1) - 4) // 3 + 2 * lines
+    want = {(k, "match" if off <= lines else "mismatch", str((total + off) * 10**6), str(total * 10**6), f"{lines}000000", 0 < off <= lines) for k, off in ((1, 0), (4, 1), (9, 50))}
+    got = {(r.doc_id, r.status, r.actual, r.expected, r.tolerance, r.rounded) for r in registry.QUERIES["d10_table_sums"](spark, sf).collect()}
+    assert got == want
