@@ -63,3 +63,10 @@ def test_totals_of_orders_of_any_length(spark, tmp_path, lines):
     want = {(k, "match" if off <= lines else "mismatch", str((total + off) * 10**6), str(total * 10**6), f"{lines}000000", 0 < off <= lines) for k, off in ((1, 0), (4, 1), (9, 50))}
     got = {(r.doc_id, r.status, r.actual, r.expected, r.tolerance, r.rounded) for r in registry.QUERIES["d10_table_sums"](spark, sf).collect()}
     assert got == want
+
+
+def test_all_checks_of_a_long_order(spark, tmp_path):
+    sf = items(spark, tmp_path, [(k, n % 7, n, 2) for k in (1, 9) for n in range(40)])
+    spark.createDataFrame([(1, 5), (9, 6)], "o_orderkey long, o_custkey long").write.parquet(f"{sf}/orders.parquet")
+    got = sorted((r.doc_id, r.check, r.status) for r in registry.QUERIES["d24_all_checks"](spark, sf).where("check = 'table_sum'").collect())
+    assert got == [(1, "table_sum", "match"), (9, "table_sum", "mismatch")]
