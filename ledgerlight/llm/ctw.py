@@ -178,6 +178,8 @@ def model(gram: DataFrame, depth: int) -> DataFrame:
 
     From the root down each node adds its estimate with the weight that is left to it; where
     nothing was learned its odds are even and its estimate a half, which needs no case of its own.
+    Tables of nodes are merged: their files are much smaller than their rows, and a plan that
+    goes by files would send millions of rows through the driver.
     """
     levels = weighed(gram, depth)
     kt = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
@@ -187,11 +189,11 @@ def model(gram: DataFrame, depth: int) -> DataFrame:
         if above is None:
             above = level.select("node", (own * kt).alias("seen"), (1 - own).alias("left"))
         else:
-            joined = level.withColumn("parent", F.expr(f"node & {(1 << 8 * d) - 1}L")).join(above.withColumnRenamed("node", "parent"), "parent")
+            joined = level.withColumn("parent", F.expr(f"node & {(1 << 8 * d) - 1}L")).join(above.withColumnRenamed("node", "parent").hint("merge"), "parent")
             above = joined.select("node", (F.col("seen") + F.col("left") * own * kt).alias("seen"), (F.col("left") * (1 - own)).alias("left"))
     one = F.least(F.greatest(F.col("seen"), F.lit(1e-300)), F.lit(1 - 2.0**-52))
     log = F.log10(F.when(F.col("bit") == 1, one).otherwise(1 - one))
-    return decisions(gram.select("gram")).join(above, "node").groupBy("gram").agg(F.sum(log).alias("value"))
+    return decisions(gram.select("gram")).join(above.hint("merge"), "node").groupBy("gram").agg(F.sum(log).alias("value"))
 
 
 def spread(texts: pa.Table, answers: pa.Table, depth: int, tokens: int, distinct: int, ends: int):
@@ -241,8 +243,8 @@ def scores(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col
     probability = cut(model(gram, depth), "ctw-model")
     release(gram)
     answers = (
-        asks.where("gram IS NOT NULL").select("block", "gram").join(probability, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
-        .unionByName(asks.where("word IS NOT NULL").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("value")))
+        asks.where("gram IS NOT NULL").select("block", "gram").join(probability.hint("merge"), "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
+        .unionByName(asks.where("word IS NOT NULL").select("block", "word").join(words.hint("merge"), "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("value")))
     )
 
     def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:

@@ -124,3 +124,11 @@ def test_contract(spark):
         assert math.isclose(got[i].score, plain.score((t or "").encode()), rel_tol=1e-6)
     held = [r for r in got.values() if r.held_out]
     assert sum(-r.score for r in held) / math.log10(2) < 4.5 * sum(r.n_bytes for r in held)  # random bytes cost 8 bits
+
+
+def test_no_table_of_the_model_goes_through_the_driver(spark):
+    docs = spark.createDataFrame([(k, f"ein Text {k} von {k % 3}") for k in range(20)], "doc_id long, text string")
+    gram = ctw.asked(ctw.blocks(docs), 3).where("gram IS NOT NULL").groupBy("gram").agg({"n": "sum"}).toDF("gram", "n")
+    for df in (ctw.model(gram, 3), ctw.scores(docs, depth=2)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
