@@ -95,3 +95,32 @@ def test_references_and_prior_reports_stay_dealt(spark):
     assert "Join" not in plan(said) and plan(found).count("SortMergeJoin") + plan(found).count("BroadcastHashJoin") == 1  # of labels and the catalogue
     assert [(r.table_no, r.check, r.status, int(r.expected)) for r in found.where("doc_id IS NOT NULL").collect()] == [(2, "cross_reference", "mismatch", 10)]
     assert [(r.table_no, r.status) for r in said.collect()] == [(2, "match")]
+
+
+def test_tables_in_between_keep_no_shuffle_files(spark):
+    import time
+
+    from ledgerlight.operators import rounds
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def kept() -> set[str]:
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = kept()
+    got = rounds.settled(spark.range(1000).repartition(3, "id"))
+    until = time.time() + 20
+    while kept() - before and time.time() < until and not time.sleep(0.2):
+        pass
+    assert not kept() - before and spark.conf.get(rounds.CLEANUP) == "false"
+    assert got.count() == 1000
+
+
+def test_cells_of_tables_are_dealt_by_document(spark):
+    from ledgerlight.operators import tables
+
+    schema = "doc_id long, ordinal long, page int, table_no int, row_no int, column_no int, header boolean, column_label string, text string, micro decimal(38,0), display_unit decimal(38,0), decimals int, unit string, period string, parenthesized boolean, issue boolean"
+    with large(spark):
+        keys = dealt(tables.parts(spark.createDataFrame([], schema)))
+        assert len(keys) == 1 and "," not in keys[0].split(", ")[0]
