@@ -75,3 +75,12 @@ def test_export_holds_whole_passages(spark, tmp_path):
     assert got[1].passages == "• " + "a" * 50 + "\n• " + "b" * 50
     assert got[2].passages == ("• " + long)[:32_753] + " … [gekürzt]" and got[2].safe == long[:32_753] + " … [gekürzt]"
     assert got[3].safe == ("'" + full)[:32_753] + " … [gekürzt]"
+
+
+def test_documents_of_one_piece_are_dealt_over_tasks_for_quotes(spark, tmp_path):
+    docs = [(k, "Eine Zeile vom Bericht\nund, (noch) eine - Zeile") for k in range(12)]
+    sf = write(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(7, "Zeile vom Bericht. Und, (noch) eine - Zeile")], "item_id long, text string"))
+    df = registry.QUERIES["p8_all_quotes"](spark, sf)
+    assert "hashpartitioning(doc_id" in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.ordinal, r.sentence, r.grounded) for r in df.collect()}
+    assert got == {(k, *x) for k in range(12) for x in ((1, 1, "Zeile vom Bericht"), (2, 2, "und, (noch) eine - Zeile"))}
